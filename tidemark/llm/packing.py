@@ -43,10 +43,10 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(vocabulary).ids
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, 2 << 20):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = ids_of(text) + tail
+            for doc, data in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).to_pylist()), strict=True):
+                data += tail
                 for i, (a, n) in enumerate(cut(len(data) // 4, capacity)):
                     own = data[4 * a : 4 * (a + n)]
                     rows.append((doc, i, a, n, own if with_ids else zlib.crc32(own)))

@@ -1,8 +1,65 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: from the documents table to packed training sequences.
 
-STAGES = []
+Five stages, each of which calls one operator on all that the stage before it kept.  A stage's result is written as Parquet
+and read again as the next one's documents.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import mixing, packing, simhash, substrings, toxicity
+from tidemark.llm.common import staged, table
+
+#: Documents with this toxicity or more go.
+TOXIC = 0.3
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, learned from the labels table, scores below TOXIC."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).filter(F.col("score") < TOXIC).select(docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-equal SimHashes the document with the smallest id.  Rows without id can't be named and stay."""
+    near = simhash.near_duplicates(docs)
+    first = near.filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+
+
+def cut_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 35 words or more that come again; n_chars follows the text."""
+    cut = substrings.without_duplicates(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.repeated(mixing.mix(docs)).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 2048 tokens."""
+    return packing.pack(staged(packing.token_pieces(docs, 2048, payload="crc32"), "pieces"), 2048)
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("near_dedup", keep_one_of_near_copies),
+    ("substring_dedup", cut_shared_passages),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Fitted models, XXH64 and tokenizers are beyond SQL; a test holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,8 @@ every step, so flat stretches (all documents at the ceiling) can't throw it out.
 
 Rates are then rounded into copies by a seeded hash of the document: floor(rate + 1 - u + shift_s), u uniform in (0, 1).
 At shift 0 this is randomised rounding; the shift of each source is searched (16 candidates in one aggregation, then 16
-within the best step) until the copies' tokens lie as near to the target as whole documents allow.
+within the best step) until the copies' tokens lie near the target.  Last, the document whose size comes nearest to what is
+still missing or over gets one copy more or less, a few times: each is one aggregation.
 
 The parameters are a table with one row a source.  It is joined, never collected, and written after each step, so the
 plan does not grow with the iterations.
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged, word_count
 
-#: Newton steps; each at least halves the bracket or converges quadratically.
-STEPS = 12
-#: Rounds of the search for the shift, and candidates in each.
-ROUNDS, CANDIDATES = 4, 16
+#: Newton steps at most; each at least halves the bracket or converges quadratically.
+STEPS = 32
+#: Rounds of the search for the shift, candidates in each, and documents that get a copy more or less at the end.
+ROUNDS, CANDIDATES, FIXES = 3, 16, 3
 
 
 def source_targets(sizes: DataFrame, most: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
@@ -64,9 +65,10 @@ def _to_params(docs: DataFrame, params: DataFrame) -> DataFrame:
 
 def solve(sizes: DataFrame, targets: DataFrame, most: float = 3.0) -> DataFrame:
     """``targets`` with ``param``: the dual's solution for each source."""
-    # exp(param * z / mean) reaches every rate that matters within these bounds: the smallest document has at least one token
-    bound = 2.0 * F.greatest("mean_size", F.lit(1.0))
-    params = staged(targets.select("*", F.lit(0.0).alias("param"), (-20.0 * bound).alias("low"), bound.alias("high")), "mixing-params")
+    # the solution's sign is known; ln(most) * mean takes a document of one token to the ceiling, and exp(-100 z / mean) is nothing
+    more = F.col("target") > F.col("source_size")
+    ends = [F.when(more, 0.0).otherwise(-100.0).alias("low"), F.when(more, F.log(F.lit(most)) * F.greatest("mean_size", F.lit(1.0)) * 1.001).otherwise(0.0).alias("high")]
+    params = staged(targets.select("*", F.lit(0.0).alias("param"), *ends), "mixing-params")
     for _ in range(STEPS):
         rate = _rate(most, F.col("param"))
         slope = F.when(rate < most, rate * F.col("size") * F.col("size") / F.greatest("mean_size", F.lit(1e-9))).otherwise(0.0)
@@ -75,14 +77,23 @@ def solve(sizes: DataFrame, targets: DataFrame, most: float = 3.0) -> DataFrame:
         both = params.join(sums.withColumnRenamed("source", "s_source"), F.col("source").eqNullSafe(F.col("s_source")), "left").drop("s_source")
         both = both.withColumn("low", F.when(over < 0, F.col("param")).otherwise(F.col("low"))).withColumn("high", F.when(over > 0, F.col("param")).otherwise(F.col("high")))
         newton = F.col("param") - over / F.when(F.col("slope") > 0, F.col("slope"))
-        inside = (newton > F.col("low")) & (newton < F.col("high"))
+        inside = (newton >= F.col("low")) & (newton <= F.col("high")) & (F.abs(over) > 0)
         step = F.when(F.abs(over) <= 1e-9 * F.col("target"), F.col("param")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
-        params = staged(both.select(*targets.columns, F.coalesce(step, F.col("param")).alias("param"), "low", "high"), "mixing-params")
-    return params.drop("low", "high")
+        off = F.when(F.col("target") < most * F.col("source_size") * (1 - 1e-12), F.abs(over) / F.col("target"))
+        params = staged(both.select(*targets.columns, F.coalesce(step, F.col("param")).alias("param"), "low", "high", off.alias("off")), "mixing-params")
+        if (params.agg(F.max("off")).first()[0] or 0.0) < 1e-6:
+            break
+    # a source whose target is its ceiling has no finite solution: all its documents are at the ceiling
+    full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
+    return params.select(*targets.columns, F.when(full & (F.col("source_size") > 0), F.col("mean_size") * 8).otherwise(F.col("param")).alias("param"))
 
 
-def _copies(rate: Column, ticket: Column, shift: Column, most: int) -> Column:
-    return F.least(F.lit(most), F.greatest(F.lit(0), F.floor(rate + 1 - ticket + shift))).cast("long")
+def _copies(rate: Column, ticket: Column, shift: Column, fixes: Column | None, most: int) -> Column:
+    whole = F.least(F.lit(most), F.greatest(F.lit(0), F.floor(rate + 1 - ticket + shift))).cast("long")
+    if fixes is None:
+        return whole
+    by = F.aggregate(F.filter(fixes, lambda f: f["doc_id"] == F.col("doc_id").cast("long")), F.lit(0), lambda a, f: a + f["by"])
+    return F.least(F.lit(most), F.greatest(F.lit(0), whole + by)).cast("long")
 
 
 def _ticket(seed: int) -> Column:
@@ -91,26 +102,34 @@ def _ticket(seed: int) -> Column:
 
 
 def mixture(sizes: DataFrame, seed: int = 11, most: int = 3, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
-    """What the mix is made by: (source, source_size, n_docs, mean_size, target, param, shift) from (doc_id, source, size), one row a source."""
+    """What the mix is made by: (source, source_size, n_docs, mean_size, target, param, shift, fixes) from (doc_id, source, size), one row a source."""
     targets = staged(source_targets(sizes, float(most), weights), "mixing-targets")
     params = staged(solve(sizes, targets, float(most)), "mixing-params")
-    rated = staged(_to_params(sizes.filter("size > 0"), params).select("source", "size", _ticket(seed).alias("ticket"), _rate(float(most), F.col("param")).alias("rate")), "mixing-rates")
+    rated = staged(_to_params(sizes.filter("size > 0"), params).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", _ticket(seed).alias("ticket"), _rate(float(most), F.col("param")).alias("rate")), "mixing-rates")
     # candidates run from low to high; the copies' tokens never fall as the shift grows
     shifts = staged(targets.select("source", "target", F.lit(-1.0).alias("low"), F.lit(1.0).alias("high")), "mixing-shifts")
     for k in range(ROUNDS):
         width = (F.col("high") - F.col("low")) / CANDIDATES
-        tokens = [F.sum(_copies(F.col("rate"), F.col("ticket"), F.col("low") + width * i, most) * F.col("size")).alias(f"t{i}") for i in range(CANDIDATES + 1)]
+        tokens = [F.sum(_copies(F.col("rate"), F.col("ticket"), F.col("low") + width * i, None, most) * F.col("size")).alias(f"t{i}") for i in range(CANDIDATES + 1)]
         sums = _to_params(rated, shifts).groupBy("source").agg(*tokens).withColumnRenamed("source", "s_source")
         both = shifts.join(sums, F.col("source").eqNullSafe(F.col("s_source")), "left").drop("s_source")
         # the last candidate that does not exceed the target opens the next, narrower interval
         below = sum((F.coalesce(F.col(f"t{i}"), F.lit(0)) <= F.col("target")).cast("int") for i in range(1, CANDIDATES))
         low = F.col("low") + width * below
-        if k == ROUNDS - 1:
-            taken = F.array(*[F.col(f"t{i}") for i in range(CANDIDATES + 1)])
-            under, above = F.element_at(taken, below + 1), F.element_at(taken, below + 2)
-            low = F.when(F.abs(above - F.col("target")) < F.abs(under - F.col("target")), low + width).otherwise(low)
         shifts = staged(both.select("source", "target", low.alias("low"), (low + width).alias("high")), "mixing-shifts")
-    found = shifts.select(F.col("source").alias("x_source"), F.col("low").alias("shift"))
+    none = F.array().cast("array<struct<doc_id:bigint,by:int>>")
+    found = staged(shifts.select(F.col("source").alias("x_source"), F.col("low").alias("shift"), none.alias("fixes")), "mixing-fixes")
+    for _ in range(FIXES):
+        made = params.join(found, F.col("source").eqNullSafe(F.col("x_source"))).drop("x_source")
+        counted = _to_params(rated, made.select("source", "shift", "fixes")).withColumn("copies", _copies(F.col("rate"), F.col("ticket"), F.col("shift"), F.col("fixes"), most))
+        counted = staged(counted.select("doc_id", "source", "size", "copies"), "mixing-counted")
+        gap = F.col("target") - F.coalesce(F.col("taken"), F.lit(0))
+        gaps = targets.join(counted.groupBy(F.col("source").alias("g_source")).agg(F.sum(F.col("copies") * F.col("size")).alias("taken")), F.col("source").eqNullSafe(F.col("g_source")), "left").select("source", gap.alias("gap"))
+        may = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0) & (F.col("size") < 2 * F.abs(F.col("gap"))) & F.col("doc_id").isNotNull()
+        best = F.min(F.struct(F.abs(F.abs(F.col("gap")) - F.col("size")).alias("off"), "doc_id", F.signum("gap").cast("int").alias("by"))).alias("best")
+        picks = _to_params(counted, gaps).filter(may).groupBy(F.col("source").alias("b_source")).agg(best)
+        more = F.when(F.col("best").isNull(), F.col("fixes")).otherwise(F.concat("fixes", F.array(F.struct(F.col("best.doc_id"), F.col("best.by")))))
+        found = staged(found.join(picks, F.col("x_source").eqNullSafe(F.col("b_source")), "left").select("x_source", "shift", more.alias("fixes")), "mixing-fixes")
     return staged(params.join(found, F.col("source").eqNullSafe(F.col("x_source"))).drop("x_source"), "mixture")
 
 
@@ -121,12 +140,12 @@ def mix(docs: DataFrame, seed: int = 11, most: int = 3, weights: tuple[float, ..
     rate 1.  Source null is a source.  Rows of one doc_id get equal copies each.  An empty table gives an empty table.  Texts are not shuffled: rows find the row of
     their source in the mixture.  Columns named like those added are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "rate", "copies", "n_docs", "mean_size", "param", "shift", "p_source")
+    docs = docs.drop("size", "source_size", "target", "rate", "copies", "n_docs", "mean_size", "param", "shift", "fixes", "p_source")
     sized = docs.withColumn("size", word_count(F.col("text")) if size is None else size)
     sizes = staged(sized.select("doc_id", F.col("source").cast("string"), "size"), "mixing-sizes")
     made = mixture(sizes, seed, most, weights)
     joined = _to_params(sized, made).withColumn("rate", _rate(float(most), F.col("param")))
-    return joined.withColumn("copies", _copies(F.col("rate"), _ticket(seed), F.col("shift"), most)).drop("n_docs", "mean_size", "param", "shift")
+    return joined.withColumn("copies", _copies(F.col("rate"), _ticket(seed), F.col("shift"), F.col("fixes"), most)).drop("n_docs", "mean_size", "param", "shift", "fixes")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def fit(features: DataFrame, labels: DataFrame, label: str, learn: Column, sampl
     rows = features.join(sample_of(labels, label, learn, sample), "doc_id").select("doc_id", "x", "label").toArrow()
     # one order whatever the tasks' order, so that reruns agree
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    x = np.array(rows["x"].to_pylist(), np.float32).reshape(len(order), -1)[order]
+    x = np.array(rows["x"].to_pylist(), np.float32).reshape(len(order), -1 if len(order) else 1)[order]
     return Boosted().fit(x, rows["label"].to_numpy().astype(np.float64)[order])
 
 

@@ -17,7 +17,9 @@ def bucketed_stream(events: DataFrame, ts: str, width: str, late: str, value: Co
 
 
 def forecast_buckets(buckets: DataFrame, coef: dict[str, list[float]]) -> DataFrame:
-    """(series_id, ts, y, y_next): the forecast for the bucket after each, by an autoregression.
+    """(series_id, ts, y, y_next): the forecast for the bucket after each, by an autoregression over a stream of closed buckets.
+
+    Write ``bucketed_stream`` to a table and read that as a stream: state after an aggregation is not allowed within one query.
 
     ``coef``: for each series [const, phi_p .. phi_1].  The state of a series is its last p values; until there are p of them, and for
     series without coefficients, y_next is null.

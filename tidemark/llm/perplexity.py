@@ -31,6 +31,8 @@ GRAMS = CLASSES**ORDER
 BAND, SHORT = 8.0, 400.0
 #: Documents of a language below which its band is not trusted and all its documents pass.
 LEAST_DOCS = 20
+#: Languages with a model of their own, those with most documents; all others share one, so that what is sent stays bounded.
+LANGUAGES, OTHERS = 48, "other languages"
 
 
 @functools.cache
@@ -214,13 +216,27 @@ def bands(scores: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return joined.select("lang", "middle", F.when(F.col("docs") >= least_docs, F.greatest(F.col("spread"), F.lit(0.005))).alias("spread"))
 
 
+def _own_languages(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``lang`` replaced by the language whose model judges the document."""
+    counts = docs.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    names = [r["lang"] for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()]
+    if len(names) <= LANGUAGES:
+        return docs
+    own = F.col("lang").isin([x for x in names[:LANGUAGES] if x is not None])
+    if None in names[:LANGUAGES]:
+        own = own | F.col("lang").isNull()
+    return docs.withColumn("lang", F.when(F.coalesce(own, F.lit(False)), F.col("lang")).otherwise(F.lit(OTHERS)))
+
+
 def judged(docs: DataFrame, band: float = BAND, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(doc_id, lang, statistics, n_chars, perplexity, base_failed, kept) for each document.
 
     Base rules: fewer than 20 words, or more than 30% of the words in 8-word windows that come twice.  What passes them is kept if its mean
     log-probability lies within the band of its language.  Documents of a language with too few documents for a band pass.  Null
-    texts count as empty (and fail); null is a language; repeated rows are judged each, and count each in the model.
+    texts count as empty (and fail); null is a language; ``lang`` is the language judged by, OTHERS beyond the LANGUAGES most
+    frequent ones; repeated rows are judged each, and count each in the model.
     """
+    docs = _own_languages(docs)
     counted = models(gram_counts(docs))
     sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, counted))
     scores = staged(scored(docs, sent), "perplexity")

@@ -16,6 +16,8 @@ from tidemark.llm.common import staged
 
 #: Rows of a bucket, on average.
 BUCKET_ROWS = 4_000
+#: Buckets whose counts are summed together.
+RUN = 4_096
 
 
 def shuffled(rows: DataFrame, seed: int = 17, bucket_rows: int = BUCKET_ROWS, n_rows: int | None = None) -> DataFrame:
@@ -34,9 +36,12 @@ def shuffled(rows: DataFrame, seed: int = 17, bucket_rows: int = BUCKET_ROWS, n_
     dealt = scattered.repartition(max(1, min(buckets, 4096 + buckets // 64)), "bucket")
     held = dealt.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("at", "row"))).alias("held"), F.count(F.lit(1)).alias("n")).sortWithinPartitions("bucket")
     mixed = held.select("bucket", F.shuffle("held", F.lit(seed)).alias("held"))
-    counts = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # running sums in two steps, so that no task sees more than RUN buckets or one row for each RUN of them
+    counts = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("run", F.floor(F.col("bucket") / RUN))
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = counts.groupBy("run").agg(F.sum("n").alias("n")).select("run", upto(Window.orderBy("run")).alias("before"))
+    inside = counts.select("bucket", "run", upto(Window.partitionBy("run").orderBy("bucket")).alias("within"))
+    bases = inside.join(runs, "run").select("bucket", (F.col("before") + F.col("within")).alias("base"))
     placed = mixed.join(bases, "bucket").select("base", F.posexplode("held").alias("slot", "one"))
     return placed.select("one.row.*", (F.col("base") + F.col("slot")).alias("place"))
 

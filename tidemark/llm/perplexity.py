@@ -208,7 +208,8 @@ def scored(docs: DataFrame, sent) -> DataFrame:
 def bands(scores: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, middle, spread) from the documents with 20 words or more; one row a language."""
     own = scores.filter("n_words >= 20 and log_probability is not null")
-    middle = own.groupBy("lang").agg(F.percentile_approx("log_probability", 0.5, 10_000).alias("middle"), F.count(F.lit(1)).alias("docs"))
+    # a row a language, written so that its size is known: the join that follows needs no shuffle of documents by language
+    middle = staged(own.groupBy("lang").agg(F.percentile_approx("log_probability", 0.5, 10_000).alias("middle"), F.count(F.lit(1)).alias("docs")), "perplexity-middle")
     off = own.join(middle.select(F.col("lang").alias("m_lang"), "middle"), F.col("lang").eqNullSafe(F.col("m_lang")))
     scaled = F.abs(F.col("log_probability") - F.col("middle")) / F.sqrt(1 + F.lit(SHORT) / F.col("n_chars"))
     spread = off.groupBy("lang").agg(F.percentile_approx(scaled, 0.5, 10_000).alias("spread"))
@@ -240,7 +241,7 @@ def judged(docs: DataFrame, band: float = BAND, least_docs: int = LEAST_DOCS) ->
     counted = models(gram_counts(docs))
     sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, counted))
     scores = staged(scored(docs, sent), "perplexity")
-    limits = bands(scores, least_docs).withColumnRenamed("lang", "b_lang")
+    limits = staged(bands(scores, least_docs), "perplexity-bands").withColumnRenamed("lang", "b_lang")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     off = F.abs(F.col("log_probability") - F.col("middle")) / F.sqrt(1 + F.lit(SHORT) / F.col("n_chars"))
     inside = F.coalesce(off <= band * F.col("spread"), F.lit(True))

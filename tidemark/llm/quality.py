@@ -37,7 +37,7 @@ def sample_of(labels: DataFrame, label: str, learn: Column, most: int) -> DataFr
 
 def fit(features: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int = SAMPLE) -> Boosted:
     """Trees fitted on the driver over a bounded sample of labelled rows."""
-    rows = features.join(sample_of(labels, label, learn, sample), "doc_id").select("doc_id", "x", "label").toArrow()
+    rows = features.join(F.broadcast(sample_of(labels, label, learn, sample)), "doc_id").select("doc_id", "x", "label").toArrow()
     # one order whatever the tasks' order, so that reruns agree
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     x = np.array(rows["x"].to_pylist(), np.float32).reshape(len(order), -1 if len(order) else 1)[order]

@@ -167,7 +167,8 @@ def scored(docs: DataFrame, model: NoisyOr) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "toxic", sample: int = SAMPLE) -> NoisyOr:
     """The model from at most ``sample`` labelled documents, those whose ids hash lowest; ``learn`` is a condition over ``labels``."""
     rows = sample_of(labels, label, F.lit(True) if learn is None else learn, sample)
-    own = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(rows, "doc_id").select("doc_id", "text", "label"), "toxicity-sample")
+    # at most `sample` rows of an id and a label: broadcast, so that no other text is shuffled
+    own = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "label"), "toxicity-sample")
     return fit(own)
 
 

@@ -166,20 +166,22 @@ def _boundary_windows(listed: DataFrame, window: int) -> DataFrame:
 def _parsed(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
     """(sub_doc, sub_text, found): the runs of duplicate windows of a text as (start, n, ref_doc, ref_start), in no order, with repeats."""
     pieces = _pieces(keyed, window, anchor)
-    often = pieces.groupBy("mini").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("mini")
+    # what is joined back is written first: a join of two plain scans has partitions that Spark can split where a key is hot
+    often = staged(pieces.groupBy("mini").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("mini"), "substrings-often")
     shared = staged(pieces.join(often, "mini"), "substrings-shared")
     # of the pieces of a block, each different one once: how often it comes, and where it comes first
     first = F.min(F.struct("sub_doc", "sub_text", "start")).alias("first")
-    different = shared.groupBy("mini", "piece").agg(F.count(F.lit(1)).alias("copies"), first)
+    different = staged(shared.groupBy("mini", "piece").agg(F.count(F.lit(1)).alias("copies"), first), "substrings-different")
     judged = staged(shared.join(different, ["mini", "piece"]), "substrings-judged")
     factors = judged.filter("copies > 1").select("sub_doc", "sub_text", "start", "n", F.col("first.sub_doc").alias("ref_doc"), F.col("first.start").alias("ref_start"))
     # blocks with more than one different piece have boundaries: look up pieces that come once, against one copy of all
     sample = judged.filter("(copies = 1) or (sub_doc = first.sub_doc and sub_text = first.sub_text and start = first.start)")
-    mixed = judged.groupBy("mini").agg(F.min("piece").alias("a"), F.max("piece").alias("b")).filter("a <> b").select("mini")
+    mixed = staged(different.groupBy("mini").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("mini"), "substrings-mixed")
     listed = sample.join(mixed, "mini").groupBy("sub_doc", "sub_text").agg(F.collect_set(F.struct("start", "n", "mini", F.least("copies", F.lit(2)).cast("int").alias("copies"))).alias("listed"))
     texts = keyed.join(listed, ["sub_doc", "sub_text"]).select("sub_doc", "sub_text", "text", "listed")
     windows = staged(_boundary_windows(texts, window), "substrings-windows")
     index = windows.groupBy("mini", "hash").agg(F.sum("copies").alias("c"), F.min(F.struct("sub_doc", F.col("pos").alias("start"))).alias("ref")).filter("c > 1")
+    index = staged(index, "substrings-index")
     found = windows.filter("copies = 1").join(index, ["mini", "hash"]).select("sub_doc", "sub_text", F.col("pos").alias("start"), F.lit(1).alias("n"), F.col("ref.sub_doc").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
     return factors.union(found).groupBy("sub_doc", "sub_text").agg(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("found"))
 

@@ -4,8 +4,8 @@ Of all document rates that give each source its target number of tokens, entropy
 copy of everything (least relative entropy) under a ceiling of ``most`` copies.  Their form is known: a document of size
 z in source s has the rate min(most, exp(lambda_s * z / mean_s)), mean_s being the mean size in the source.  What is
 left is the convex dual, one number a source, and its gradient is the source's tokens at these rates less its target.
-Newton steps find it: each is one aggregation by source over the staged sizes, kept inside a bracket that shrinks with
-every step, so flat stretches (all documents at the ceiling) can't throw it out.
+Newton steps find it: each is one aggregation by source over the counts of each size, kept inside a bracket that shrinks
+with every step, so flat stretches (all documents at the ceiling) can't throw it out.
 
 Rates are then rounded into copies by a seeded hash of the document: floor(rate + 1 - u + shift_s), u uniform in (0, 1).
 At shift 0 this is randomised rounding; the shift of each source is searched (16 candidates in one aggregation, then 16
@@ -27,17 +27,20 @@ from tidemark.llm.common import staged, word_count
 STEPS = 32
 #: Rounds of the search for the shift, candidates in each, and documents that get a copy more or less at the end.
 ROUNDS, CANDIDATES, FIXES = 3, 16, 3
+#: Newton steps end when every source is this near to its target; rounding settles the rest.
+TOLERANCE = 1e-4
 
 
 def source_targets(sizes: DataFrame, most: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
-    """(source, source_size, n_docs, mean_size, target) from (source, size).
+    """(source, source_size, n_docs, mean_size, target) from (source, size), or (source, size, n).
 
     Sources in the order of their code points, null last, get the weights in turn.  They share all tokens by weight; no
     target exceeds ``most`` times its source, what is above is shared again by weight.  That is a water level: the target
     is min(most * size, weight * level), and the level follows from running sums over sources sorted by the level at
     which each is full.  Both windows run over one row a source.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    n = F.col("n") if "n" in sizes.columns else F.lit(1)
+    totals = sizes.groupBy("source").agg(F.sum(n * F.col("size")).alias("source_size"), F.sum(n).alias("n_docs"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (turn % len(weights) + 1).cast("int"))
     capped = totals.withColumn("weight", weight).withColumn("full_at", most * F.col("source_size") / F.col("weight"))
@@ -63,27 +66,35 @@ def _to_params(docs: DataFrame, params: DataFrame) -> DataFrame:
     return docs.join(params.withColumnRenamed("source", "p_source"), F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
 
 
+def _carried(names: list[str]) -> list[Column]:
+    """Columns that are the same in all rows of a source, through a groupBy: so a step needs no join after its aggregation."""
+    return [F.first(n).alias(n) for n in names]
+
+
 def solve(sizes: DataFrame, targets: DataFrame, most: float = 3.0) -> DataFrame:
-    """``targets`` with ``param``: the dual's solution for each source."""
+    """``targets`` with ``param``: the dual's solution for each source.
+
+    ``sizes`` is (source, size, n): a rate depends on source and size only, so documents of one size are one row.
+    """
     # the solution's sign is known; ln(most) * mean takes a document of one token to the ceiling, and exp(-100 z / mean) is nothing
     more = F.col("target") > F.col("source_size")
     ends = [F.when(more, 0.0).otherwise(-100.0).alias("low"), F.when(more, F.log(F.lit(most)) * F.greatest("mean_size", F.lit(1.0)) * 1.001).otherwise(0.0).alias("high")]
-    params = staged(targets.select("*", F.lit(0.0).alias("param"), *ends), "mixing-params")
+    params = targets.select("*", F.lit(0.0).alias("param"), *ends)
+    known = [c for c in targets.columns if c != "source"]
     for _ in range(STEPS):
-        rate = _rate(most, F.col("param"))
-        slope = F.when(rate < most, rate * F.col("size") * F.col("size") / F.greatest("mean_size", F.lit(1e-9))).otherwise(0.0)
-        sums = _to_params(sizes.filter("size > 0"), params).groupBy("source").agg(F.sum(rate * F.col("size")).alias("got"), F.sum(slope).alias("slope"))
+        rate, tokens = _rate(most, F.col("param")), F.col("n") * F.col("size")
+        slope = F.when(rate < most, rate * tokens * F.col("size") / F.greatest("mean_size", F.lit(1e-9))).otherwise(0.0)
+        sums = _to_params(sizes, params).groupBy("source").agg(F.sum(rate * tokens).alias("got"), F.sum(slope).alias("slope"), *_carried([*known, "param", "low", "high"]))
         over = F.col("got") - F.col("target")
-        both = params.join(sums.withColumnRenamed("source", "s_source"), F.col("source").eqNullSafe(F.col("s_source")), "left").drop("s_source")
-        both = both.withColumn("low", F.when(over < 0, F.col("param")).otherwise(F.col("low"))).withColumn("high", F.when(over > 0, F.col("param")).otherwise(F.col("high")))
+        both = sums.withColumn("low", F.when(over < 0, F.col("param")).otherwise(F.col("low"))).withColumn("high", F.when(over > 0, F.col("param")).otherwise(F.col("high")))
         newton = F.col("param") - over / F.when(F.col("slope") > 0, F.col("slope"))
         inside = (newton >= F.col("low")) & (newton <= F.col("high")) & (F.abs(over) > 0)
         step = F.when(F.abs(over) <= 1e-9 * F.col("target"), F.col("param")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
+        # a source whose target is its ceiling has no finite solution
         off = F.when(F.col("target") < most * F.col("source_size") * (1 - 1e-12), F.abs(over) / F.col("target"))
         params = staged(both.select(*targets.columns, F.coalesce(step, F.col("param")).alias("param"), "low", "high", off.alias("off")), "mixing-params")
-        if (params.agg(F.max("off")).first()[0] or 0.0) < 1e-6:
+        if (params.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
             break
-    # a source whose target is its ceiling has no finite solution: all its documents are at the ceiling
     full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
     return params.select(*targets.columns, F.when(full & (F.col("source_size") > 0), F.col("mean_size") * 8).otherwise(F.col("param")).alias("param"))
 
@@ -102,35 +113,35 @@ def _ticket(seed: int) -> Column:
 
 
 def mixture(sizes: DataFrame, seed: int = 11, most: int = 3, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
-    """What the mix is made by: (source, source_size, n_docs, mean_size, target, param, shift, fixes) from (doc_id, source, size), one row a source."""
-    targets = staged(source_targets(sizes, float(most), weights), "mixing-targets")
-    params = staged(solve(sizes, targets, float(most)), "mixing-params")
-    rated = staged(_to_params(sizes.filter("size > 0"), params).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", _ticket(seed).alias("ticket"), _rate(float(most), F.col("param")).alias("rate")), "mixing-rates")
+    """What the mix is made by: (source, source_size, target, mean_size, param, shift, fixes) from (doc_id, source, size), one row a source."""
+    counted = staged(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mixing-counted")
+    targets = staged(source_targets(counted, float(most), weights), "mixing-targets")
+    params = solve(counted, targets, float(most))
+    rate = _rate(float(most), F.col("param"))
+    carry = ["source_size", "target", "mean_size", "param"]
     # candidates run from low to high; the copies' tokens never fall as the shift grows
-    shifts = staged(targets.select("source", "target", F.lit(-1.0).alias("low"), F.lit(1.0).alias("high")), "mixing-shifts")
-    for k in range(ROUNDS):
+    now = params.select("source", *carry, F.lit(-1.0).alias("low"), F.lit(1.0).alias("high"))
+    for _ in range(ROUNDS):
         width = (F.col("high") - F.col("low")) / CANDIDATES
-        tokens = [F.sum(_copies(F.col("rate"), F.col("ticket"), F.col("low") + width * i, None, most) * F.col("size")).alias(f"t{i}") for i in range(CANDIDATES + 1)]
-        sums = _to_params(rated, shifts).groupBy("source").agg(*tokens).withColumnRenamed("source", "s_source")
-        both = shifts.join(sums, F.col("source").eqNullSafe(F.col("s_source")), "left").drop("s_source")
+        tokens = [F.sum(_copies(rate, _ticket(seed), F.col("low") + width * i, None, most) * F.col("size")).alias(f"t{i}") for i in range(CANDIDATES)]
+        sums = _to_params(sizes, now).groupBy("source").agg(*tokens, *_carried([*carry, "low", "high"]))
         # the last candidate that does not exceed the target opens the next, narrower interval
-        below = sum((F.coalesce(F.col(f"t{i}"), F.lit(0)) <= F.col("target")).cast("int") for i in range(1, CANDIDATES))
+        below = sum((F.col(f"t{i}") <= F.col("target")).cast("int") for i in range(1, CANDIDATES))
         low = F.col("low") + width * below
-        shifts = staged(both.select("source", "target", low.alias("low"), (low + width).alias("high")), "mixing-shifts")
+        gap = F.col("target") - F.element_at(F.array(*[F.col(f"t{i}") for i in range(CANDIDATES)]), below + 1)
+        now = staged(sums.select("source", *carry, low.alias("low"), (low + width).alias("high"), gap.alias("gap")), "mixing-shifts")
     none = F.array().cast("array<struct<doc_id:bigint,by:int>>")
-    found = staged(shifts.select(F.col("source").alias("x_source"), F.col("low").alias("shift"), none.alias("fixes")), "mixing-fixes")
+    now = now.select("source", *carry, F.col("low").alias("shift"), "gap", none.alias("fixes"))
     for _ in range(FIXES):
-        made = params.join(found, F.col("source").eqNullSafe(F.col("x_source"))).drop("x_source")
-        counted = _to_params(rated, made.select("source", "shift", "fixes")).withColumn("copies", _copies(F.col("rate"), F.col("ticket"), F.col("shift"), F.col("fixes"), most))
-        counted = staged(counted.select("doc_id", "source", "size", "copies"), "mixing-counted")
-        gap = F.col("target") - F.coalesce(F.col("taken"), F.lit(0))
-        gaps = targets.join(counted.groupBy(F.col("source").alias("g_source")).agg(F.sum(F.col("copies") * F.col("size")).alias("taken")), F.col("source").eqNullSafe(F.col("g_source")), "left").select("source", gap.alias("gap"))
-        may = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0) & (F.col("size") < 2 * F.abs(F.col("gap"))) & F.col("doc_id").isNotNull()
-        best = F.min(F.struct(F.abs(F.abs(F.col("gap")) - F.col("size")).alias("off"), "doc_id", F.signum("gap").cast("int").alias("by"))).alias("best")
-        picks = _to_params(counted, gaps).filter(may).groupBy(F.col("source").alias("b_source")).agg(best)
-        more = F.when(F.col("best").isNull(), F.col("fixes")).otherwise(F.concat("fixes", F.array(F.struct(F.col("best.doc_id"), F.col("best.by")))))
-        found = staged(found.join(picks, F.col("x_source").eqNullSafe(F.col("b_source")), "left").select("x_source", "shift", more.alias("fixes")), "mixing-fixes")
-    return staged(params.join(found, F.col("source").eqNullSafe(F.col("x_source"))).drop("x_source"), "mixture")
+        copies, gap = _copies(rate, _ticket(seed), F.col("shift"), F.col("fixes"), most), F.col("gap")
+        may = F.when(gap > 0, copies < most).otherwise(copies > 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.abs(gap)) & F.col("doc_id").isNotNull()
+        one = F.struct(F.abs(F.abs(gap) - F.col("size")).alias("off"), F.col("doc_id").cast("long").alias("doc_id"), F.signum(gap).cast("int").alias("by"), "size")
+        picks = _to_params(sizes, now).groupBy("source").agg(F.min(F.when(may, one)).alias("best"), *_carried([*carry, "shift", "gap", "fixes"]))
+        best = F.col("best").isNotNull()
+        fixes = F.when(best, F.concat("fixes", F.array(F.struct(F.col("best.doc_id"), F.col("best.by"))))).otherwise(F.col("fixes"))
+        left = F.when(best, gap - F.col("best.by") * F.col("best.size")).otherwise(gap)
+        now = staged(picks.select("source", *carry, "shift", left.alias("gap"), fixes.alias("fixes")), "mixing-fixes")
+    return now.drop("gap")
 
 
 def mix(docs: DataFrame, seed: int = 11, most: int = 3, weights: tuple[float, ...] = (1.0, 2.0, 3.0), size: Column | None = None) -> DataFrame:
@@ -140,12 +151,12 @@ def mix(docs: DataFrame, seed: int = 11, most: int = 3, weights: tuple[float, ..
     rate 1.  Source null is a source.  Rows of one doc_id get equal copies each.  An empty table gives an empty table.  Texts are not shuffled: rows find the row of
     their source in the mixture.  Columns named like those added are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "rate", "copies", "n_docs", "mean_size", "param", "shift", "fixes", "p_source")
+    docs = docs.drop("size", "source_size", "target", "rate", "copies", "mean_size", "param", "shift", "fixes", "p_source")
     sized = docs.withColumn("size", word_count(F.col("text")) if size is None else size)
     sizes = staged(sized.select("doc_id", F.col("source").cast("string"), "size"), "mixing-sizes")
     made = mixture(sizes, seed, most, weights)
     joined = _to_params(sized, made).withColumn("rate", _rate(float(most), F.col("param")))
-    return joined.withColumn("copies", _copies(F.col("rate"), _ticket(seed), F.col("shift"), F.col("fixes"), most)).drop("n_docs", "mean_size", "param", "shift", "fixes")
+    return joined.withColumn("copies", _copies(F.col("rate"), _ticket(seed), F.col("shift"), F.col("fixes"), most)).drop("mean_size", "param", "shift", "fixes")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

@@ -172,8 +172,13 @@ class ModelSql:
         rows = " UNION ALL ".join(f"SELECT series_id, CAST(fold AS BIGINT) AS fold, {h + 1} AS h, '{t}' AS term, round(beta_{h}_{j}, {digits}) + 0.0 AS coef FROM params" for h in range(len(self.targets)) for j, t in enumerate(terms))
         return f"{ctes(*self.parts)} {rows}"
 
+    def over_design(self, columns: str, tail: str = "") -> str:
+        """Any selection from the design matrix."""
+        upto = next(i for i, x in enumerate(self.parts) if x.startswith("design AS"))
+        return f"{ctes(*self.parts[: upto + 1])} SELECT {columns} FROM design {tail}"
+
     def features(self, names: list[str], digits: int = 6) -> str:
-        return f"{ctes(*self.parts[: next(i for i, x in enumerate(self.parts) if x.startswith('design AS')) + 1])} SELECT series_id, t, {rounded(names, digits)} FROM design"
+        return self.over_design(f"series_id, t, {rounded(names, digits)}")
 
 
 def metrics_from(pairs: str, digits: int = 3) -> str:

@@ -98,7 +98,7 @@ def _hide(s: SparkSession, d: str) -> DataFrame:
 
 
 _hidden = [f"round(x1_lag{max(1, k - h + 1)}, 6) + 0.0 AS h{h}_{4 - k}" for h in (1, 2, 3, 6) for k in range(4, 0, -1)]
-_add("hide_exo", _hide, ModelSql("events_hourly", p=3, q=4, trend=3, horizons=1).features(["t"]).replace("SELECT series_id, t, round(t, 6) + 0.0 AS t FROM design", f"SELECT series_id, t, {', '.join(_hidden)} FROM design"))
+_add("hide_exo", _hide, ModelSql("events_hourly", p=3, q=4, trend=3, horizons=1).over_design(f"series_id, t, {', '.join(_hidden)}"))
 
 # scaling
 for _kind, _scaler in (("standard", scaling.STANDARD), ("minmax", scaling.minmax())):
@@ -172,8 +172,7 @@ def _gram(s: SparkSession, d: str) -> DataFrame:
 
 _g = ["y_lag1", "x1_lag1", "base_y"]
 _sums = [f"round(sum({x}), 3) + 0.0 AS s_{i}" for i, x in enumerate(_g)] + [f"round(sum({_g[i]} * {_g[j]}), 3) + 0.0 AS s_{i}_{j}" for i in range(3) for j in range(i, 3)]
-_gram_sql = ModelSql("ship_weekly", p=1, q=1, horizons=1).features(["t"]).replace("SELECT series_id, t, round(t, 6) + 0.0 AS t FROM design", f"SELECT series_id, count(*) AS n, {', '.join(_sums)} FROM design GROUP BY series_id")
-_add("ols_gram", _gram, _gram_sql)
+_add("ols_gram", _gram, ModelSql("ship_weekly", p=1, q=1, horizons=1).over_design(f"series_id, count(*) AS n, {', '.join(_sums)}", "GROUP BY series_id"))
 
 
 def _gram_solved(s: SparkSession, d: str) -> DataFrame:

@@ -234,7 +234,8 @@ def test_mix(spark):
     rng = random.Random(2)
     rows = [(i, s, rng.randint(0, 400)) for i, s in enumerate(rng.choices(["a", "b", "c", "d", None], [60, 20, 10, 5, 5], k=1500))]
     df = spark.createDataFrame(rows, "doc_id long, source string, words long").withColumn("copies", F.lit("clash"))
-    out = mixing.mix(df, size=F.col("words")).collect()
+    mixed = mixing.mix(df, size=F.col("words"))
+    out = mixed.collect()
     again = {r["doc_id"]: r["copies"] for r in mixing.mix(df, size=F.col("words")).collect()}
     assert len(out) == 1500 and {r["doc_id"]: r["copies"] for r in out} == again
     sizes, taken, rate = Counter(), Counter(), Counter()
@@ -246,7 +247,7 @@ def test_mix(spark):
     target = brute_targets(dict(sizes))
     for s in sizes:
         assert taken[s] == pytest.approx(target[s], rel=0.01) and rate[s] == pytest.approx(target[s], rel=1e-3)
-    assert mixing.repeated(mixing.mix(df.drop("copies"), size=F.col("words"))).count() == sum(again.values())
+    assert mixing.repeated(mixed).count() == sum(again.values())
 
 
 def test_mix_of_texts_and_of_nothing(docs, none):

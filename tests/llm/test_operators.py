@@ -389,6 +389,46 @@ def test_counts_and_bands(spark, docs, none):
     assert perplexity.judged(none).count() == 0
 
 
+def test_letters_of_any_script(spark):
+    """Texts in other scripts are strings of their own letters: shuffled ones are noise, wherever the model is cut."""
+    rng = random.Random(6)
+    wide = lambda t: "".join(chr(0x430 + ord(c) - 97) if c.isalpha() else c for c in t)
+    rows = [(i, wide(prose(rng, 120)), "ru", "a", 1) for i in range(150)]
+    noise = [wide(prose(rng, 120)).split() for _ in range(4)]
+    for words in noise:
+        letters = list("".join(words))
+        rng.shuffle(letters)
+        rows.append((900 + len(rows), " ".join("".join(letters.pop() for _ in w) for w in words), "ru", "a", 1))
+    rows += [rows[0], rows[0], (None, rows[1][1], "ru", "a", 1), (990, "", "ru", "a", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"])
+    out = sorted(perplexity.judged(docs).collect(), key=key)
+    assert Counter(r["doc_id"] for r in out) == Counter(r[0] for r in rows)
+    assert sum(r["kept"] for r in out if r["doc_id"] is not None and r["doc_id"] < 150) >= 148
+    assert not any(r["kept"] for r in out if r["doc_id"] is not None and r["doc_id"] >= 900)
+    counts = perplexity.gram_counts(docs)
+    n = counts.count()
+    assert n > 1000
+    cut = sorted(perplexity.judged(docs, load=n // 3).collect(), key=key)
+    assert [(*r[:-3], r["kept"]) for r in cut] == [(*r[:-3], r["kept"]) for r in out]
+    assert [r["perplexity"] or 0 for r in cut] == pytest.approx([r["perplexity"] or 0 for r in out])
+
+
+def test_model_in_spark(spark, docs):
+    counts = perplexity.gram_counts(docs)
+    got = perplexity.log_probabilities(counts, held_out=False).collect()
+    held = {}
+    for r in counts.collect():
+        held.setdefault(r["lang"], []).append((r["gram"], r["c"]))
+    models = {lang: perplexity.KneserNey(*map(np.array, zip(*x, strict=True))) for lang, x in held.items()}
+    assert len(got) == sum(map(len, held.values()))
+    for lang, model in models.items():
+        own = [r for r in got if r["lang"] == lang]
+        assert [r["log_p"] for r in own] == pytest.approx(model.log_probability(np.array([r["gram"] for r in own])), abs=1e-5)
+    # characters beyond the first plane differ
+    assert perplexity._grams(pa.array(["\U0001f642"]))[0].tolist() != perplexity._grams(pa.array(["\U0001f643"]))[0].tolist()
+
+
 # 7: quality
 
 

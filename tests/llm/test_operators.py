@@ -429,6 +429,21 @@ def test_model_in_spark(spark, docs):
     assert perplexity._grams(pa.array(["\U0001f642"]))[0].tolist() != perplexity._grams(pa.array(["\U0001f643"]))[0].tolist()
 
 
+def test_every_language_is_judged_by_itself(spark):
+    """More languages than were once given a model of their own, each with its upper and lower band; a tiny one too."""
+    rng = random.Random(8)
+    # in language k the letters are moved by k, so no language's prose looks like another's
+    moved = lambda t, k: "".join(chr(0x4E00 + 40 * k + ord(c) - 97) if c.isalpha() else c for c in t)
+    rows = [(100 * k + i, moved(prose(rng, 60), k), f"l{k:02}", "a", 1) for k in range(56) for i in range(24 if k else 60)]
+    rows += [(9000 + k, moved("".join(rng.choices("qxzvwyhjc ", k=400)), k), f"l{k:02}", "a", 1) for k in (0, 30, 55)]
+    rows += [(9500 + i, prose(rng, 60), "tiny", "a", 1) for i in range(7)] + [(9600, "".join(rng.choices("QXZVWYHJC ", k=400)), "tiny", "a", 1)]
+    out = {r["doc_id"]: r for r in perplexity.judged(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i: r["lang"] for i, r in out.items()} == {r[0]: r[2] for r in rows}
+    assert not any(out[i]["base_failed"] for i in out if i >= 9000)
+    assert [i for i in (9000, 9030, 9055, 9600) if out[i]["kept"]] == []
+    assert sum(r["kept"] for i, r in out.items() if i < 9000 or 9500 <= i < 9507) >= 0.98 * len(rows)
+
+
 # 7: quality
 
 

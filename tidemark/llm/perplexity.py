@@ -38,10 +38,8 @@ EDGE = 10
 LOAD, HELD = 4_000_000, 3_000_000
 #: Half the band in spreads of the language, and the length at which a text scatters sqrt(2) times as much as a long one.
 BAND, SHORT = 8.0, 400.0
-#: Documents of a language below which its band is not trusted and all its documents pass.
+#: Documents of a language below which its spread is not trusted and that of all documents stands for it.
 LEAST_DOCS = 20
-#: Languages with a model of their own, those with most documents; all others share one, so that what is sent stays bounded.
-LANGUAGES, OTHERS = 48, "other languages"
 
 
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -325,38 +323,30 @@ def scored(docs: DataFrame, probabilities: DataFrame, load: int = LOAD) -> DataF
 
 
 def bands(scores: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, middle, spread) from the documents with 20 words or more; one row a language."""
+    """(lang, middle, spread) from the documents with 20 words or more; one row a language.
+
+    The spread is the median distance from the language's middle.  In a language with fewer than ``least_docs`` such documents it is
+    the median over the documents of all languages, each by its distance from its own language's middle.
+    """
     own = scores.filter("n_words >= 20 and log_probability is not null")
     # a row a language, written so that its size is known: the join that follows needs no shuffle of documents by language
     middle = staged(own.groupBy("lang").agg(F.percentile_approx("log_probability", 0.5, 10_000).alias("middle"), F.count(F.lit(1)).alias("docs")), "perplexity-middle")
     off = own.join(middle.select(F.col("lang").alias("m_lang"), "middle"), F.col("lang").eqNullSafe(F.col("m_lang")))
     scaled = F.abs(F.col("log_probability") - F.col("middle")) / F.sqrt(1 + F.lit(SHORT) / F.col("n_chars"))
     spread = off.groupBy("lang").agg(F.percentile_approx(scaled, 0.5, 10_000).alias("spread"))
-    joined = middle.withColumnRenamed("lang", "m_lang").join(spread, F.col("lang").eqNullSafe(F.col("m_lang")))
-    return joined.select("lang", "middle", F.when(F.col("docs") >= least_docs, F.greatest(F.col("spread"), F.lit(0.005))).alias("spread"))
-
-
-def _own_languages(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``lang`` replaced by the language whose model judges the document."""
-    counts = docs.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    names = [r["lang"] for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()]
-    if len(names) <= LANGUAGES:
-        return docs
-    own = F.col("lang").isin([x for x in names[:LANGUAGES] if x is not None])
-    if None in names[:LANGUAGES]:
-        own = own | F.col("lang").isNull()
-    return docs.withColumn("lang", F.when(F.coalesce(own, F.lit(False)), F.col("lang")).otherwise(F.lit(OTHERS)))
+    of_all = off.agg(F.percentile_approx(scaled, 0.5, 10_000).alias("of_all"))
+    joined = middle.withColumnRenamed("lang", "m_lang").join(spread, F.col("lang").eqNullSafe(F.col("m_lang"))).crossJoin(F.broadcast(of_all))
+    trusted = F.when(F.col("docs") >= least_docs, F.col("spread")).otherwise(F.col("of_all"))
+    return joined.select("lang", "middle", F.greatest(trusted, F.lit(0.005)).alias("spread"))
 
 
 def judged(docs: DataFrame, band: float = BAND, least_docs: int = LEAST_DOCS, load: int = LOAD) -> DataFrame:
     """(doc_id, lang, statistics, n_chars, perplexity, base_failed, kept) for each document.
 
     Base rules: fewer than 20 words, or more than 30% of the words in 8-word windows that come twice.  What passes them is kept if its mean
-    log-probability lies within the band of its language.  Documents of a language with too few documents for a band pass.  Null
-    texts count as empty (and fail); null is a language; ``lang`` is the language judged by, OTHERS beyond the LANGUAGES most
-    frequent ones; repeated rows are judged each, and count each in the model.
+    log-probability lies within the band of its language; every language has a model and a band of its own.  Null texts count as
+    empty (and fail); null is a language; repeated rows are judged each, and count each in the model.
     """
-    docs = _own_languages(docs)
     scores = staged(scored(docs, log_probabilities(gram_counts(docs)), load), "perplexity")
     limits = staged(bands(scores, least_docs), "perplexity-bands").withColumnRenamed("lang", "b_lang")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

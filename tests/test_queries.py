@@ -41,3 +41,11 @@ def test_against_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_rows(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_attention_is_over_whole_series(spark, monkeypatch):
+    """The scores are fitted on every week, for as long as the operator's default says."""
+    seen = {}
+    monkeypatch.setattr(queries.neural, "attention_scores", lambda design, *a, **k: seen.update(k, rows=design.count()))
+    queries.QUERIES["attention_scores"](spark, SF)
+    assert seen == {"rows": queries.sources.ship_weekly(spark, SF).count()}

@@ -248,7 +248,7 @@ def _mlp(s: SparkSession, d: str) -> DataFrame:
 
 
 def _attention(s: SparkSession, d: str) -> DataFrame:
-    return neural.attention_scores(features.design_matrix(sources.prefix(sources.ship_weekly(s, d), 116), _TOKENS), _TOKENS.design, "base_y", epochs=20)
+    return neural.attention_scores(features.design_matrix(sources.ship_weekly(s, d), _TOKENS), _TOKENS.design, "base_y")
 
 
 _add("mlp_regressor", _mlp)

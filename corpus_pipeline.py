@@ -23,10 +23,21 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-equal SimHashes the document with the smallest id.  Rows without id can't be named and stay."""
-    near = simhash.near_duplicates(docs)
-    first = near.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    """One row of each component of near-equal SimHashes: the one with the smallest id, nulls last, and of rows equal in id and text any one.
+
+    Components are of texts, named by 64-bit hashes, so rows without id and rows that come again are in them like all others.
+    """
+    own = {"near_text": F.xxhash64(F.col("text").cast("string")), "near_none": F.col("doc_id").isNull(), "near_id": F.coalesce(F.col("doc_id"), F.lit(0))}
+    marked, keys = docs.withColumns(own), ["near_none", "near_id", "near_text"]
+    near = simhash.near_duplicates(marked.select(F.col("near_text").alias("doc_id"), "text"))
+    of_text = staged(near.groupBy(F.col("doc_id").alias("near_text")).agg(F.min("component_id").alias("component")), "near-texts")
+    rows = staged(marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("near_rows")), "near-rows")
+    first = rows.join(of_text, "near_text").groupBy("component").agg(F.min(F.struct(*keys, "near_rows")).alias("first"))
+    first = staged(first.select("first.*"), "near-first")
+    single = marked.join(first.filter("near_rows = 1"), keys, "left_semi").select(docs.columns)
+    # rows that come again are combined before they are shuffled
+    again = marked.join(first.filter("near_rows > 1"), keys, "left_semi").groupBy(*keys).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return single.unionByName(again.select("row.*"))
 
 
 def cut_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,16 @@ def test_stages(spark, folder, tmp_path):
 def test_run(spark, folder):
     path, *_ = folder
     assert corpus_pipeline.run(spark, path).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_one_row_of_a_group_stays(spark, folder):
+    """Repeated rows and rows without id are members of their groups like any others."""
+    path, *_ = folder
+    rng = random.Random(11)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a, "en", "a", 1)] * 5 + [(2, a, "en", "a", 1), (None, a, "en", "a", 1), (None, b, "en", "a", 1), (None, b, "en", "b", 1), (3, c, "en", "a", 1), (4, d, "en", "a", 1), (4, d, "en", "b", 1), (None, None, None, None, None), (None, "", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    out = corpus_pipeline.keep_one_of_near_copies(spark, docs, path)
+    assert out.dtypes == docs.dtypes
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) <= set(rows) and Counter((r[0], r[1] or "") for r in got) == Counter([(1, a), (None, b), (3, c), (4, d), (None, "")])

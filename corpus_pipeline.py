@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, simhash, substrings, toxicity
+from tidemark.llm import mixing, nearcopies, packing, substrings, toxicity
 from tidemark.llm.common import staged, table
 
 #: Documents with this toxicity or more go.
@@ -23,14 +23,13 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near-equal SimHashes: the one with the smallest id, nulls last, and of rows equal in id and text any one.
+    """One row of each component of near copies, by a Jaccard similarity of five-word shingles of 0.8 or more: the one with the smallest id, nulls last, and of rows equal in id and text any one.
 
     Components are of texts, named by 64-bit hashes, so rows without id and rows that come again are in them like all others.
     """
     own = {"near_text": F.xxhash64(F.col("text").cast("string")), "near_none": F.col("doc_id").isNull(), "near_id": F.coalesce(F.col("doc_id"), F.lit(0))}
     marked, keys = docs.withColumns(own), ["near_none", "near_id", "near_text"]
-    near = simhash.near_duplicates(marked.select(F.col("near_text").alias("doc_id"), "text"))
-    of_text = staged(near.groupBy(F.col("doc_id").alias("near_text")).agg(F.min("component_id").alias("component")), "near-texts")
+    of_text = staged(nearcopies.grouped(docs).select(F.col("node").alias("near_text"), "component"), "near-components")
     rows = staged(marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("near_rows")), "near-rows")
     first = rows.join(of_text, "near_text").groupBy("component").agg(F.min(F.struct(*keys, "near_rows")).alias("first"))
     first = staged(first.select("first.*"), "near-first")

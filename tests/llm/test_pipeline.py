@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
-from tidemark.llm import tokens
+from tidemark.llm import nearcopies, tokens
 
 from test_operators import DOCS, brute_components, brute_fingerprint, brute_substrings, prose
 
@@ -89,3 +89,32 @@ def test_one_row_of_a_group_stays(spark, folder):
     assert out.dtypes == docs.dtypes
     got = [tuple(r) for r in out.collect()]
     assert set(got) <= set(rows) and Counter((r[0], r[1] or "") for r in got) == Counter([(1, a), (None, b), (3, c), (4, d), (None, "")])
+
+
+@pytest.mark.parametrize("small", [16, 2])
+def test_near_copies_of_five_word_shingles(spark, small):
+    """Planted copies with 0.8 to 0.95 of their five-word shingles in common, and pairs well below, by brute force."""
+    rng = random.Random(12)
+    rows, near, far = [], [], []
+    for i in range(60):
+        words = prose(rng, 300).split()
+        rows.append((2 * i, " ".join(words)))
+        for at in rng.sample(range(10, 290, 7), 1 + i % 5 if i % 6 else 14):
+            words[at] = "changed"
+        rows.append((2 * i + 1, " ".join(words)))
+    sets = {n: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for n, w in ((n, t.split()) for n, t in rows)}
+    for i in range(60):
+        a, b = sets[2 * i], sets[2 * i + 1]
+        (near if len(a & b) / len(a | b) >= 0.8 else far).append((2 * i, 2 * i + 1))
+    assert len(near) > 40 and len(far) >= 10
+    got = nearcopies.links(spark.createDataFrame(rows, "node long, text string"), small=small).collect()
+    assert {tuple(r) for r in got} == set(near)
+
+
+def test_near_copies_go(spark, folder):
+    path, *_ = folder
+    rng = random.Random(13)
+    words = prose(rng, 112).split()
+    copy = [*words[:50], "changed", *words[51:]]
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "a", 1), (2, " ".join(copy), "en", "a", 1), (3, prose(rng, 112), "en", "a", 1)], DOCS)
+    assert sorted(r[0] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, path).collect()) == [1, 3]

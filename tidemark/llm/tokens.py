@@ -4,6 +4,8 @@ A text is cut wherever ASCII white space follows something that is not white spa
 forward only and none of its alternatives crosses such a place, so the ids of a text are the ids of its chunks one after
 the other; chunks that come back are looked up.  The chunks themselves are encoded by ``tiktoken`` from the ranks in
 the vocabulary, which gives the ids of ``tokenizers`` (a test compares them) at a third of its CPU time.
+
+Strings of added tokens are tokens wherever they stand, as in the library: a text that holds one is cut there first.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import bisect
 import functools
 import itertools
 import json
+import re
 
 import numpy as np
 
@@ -36,7 +39,7 @@ def _bytes_of_symbols() -> dict[str, int]:
 
 
 class Encoder:
-    """``ids(texts)``: of each text its little-endian unsigned 32-bit ids as bytes.  Strings of special tokens are ordinary text."""
+    """``ids(texts)``: of each text its little-endian unsigned 32-bit ids as bytes, those of ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
@@ -44,18 +47,31 @@ class Encoder:
 
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec["added_tokens"]}
+        odd = [t["content"] for t in spec["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"]]
+        if odd:
+            raise ValueError(f"added tokens that take in what is beside them are not handled: {odd}")
+        self._added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # of several that begin at one place the longest counts
+        self._cuts = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if self._added else None
         symbol = _bytes_of_symbols()
-        ranks = {bytes(symbol[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        ranks = {bytes(symbol[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self._added}
         self._encode = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.byte_length = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
-            self.byte_length[i] = len(token)
+        lengths = {i: len(token) for token, i in ranks.items()} | {i: len(token.encode()) for token, i in self._added.items()}
+        self.byte_length = np.zeros(max(lengths) + 1, np.int64)
+        self.byte_length[list(lengths)] = list(lengths.values())
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self._encode(text), "<u4").tobytes()
+        if not self._has_added(text):
+            return np.array(self._encode(text), "<u4").tobytes()
+        ids: list[int] = []
+        for part in self._cuts.split(text):
+            ids += [self._added[part]] if part in self._added else self._encode(part)
+        return np.array(ids, "<u4").tobytes()
+
+    def _has_added(self, text: str) -> bool:
+        return any(map(text.__contains__, self._added))
 
     def _learn(self, keys: list[str]) -> None:
         """Keys of the form of split()'s are encoded in one go and cut again by their bytes; marked ones alone."""
@@ -82,7 +98,7 @@ class Encoder:
         ends, whole = [0], {}
         for i, text in enumerate(texts):
             if text:
-                if any(map(text.__contains__, WHOLE)) or not text.isascii() and any(map(text.__contains__, WHOLE_WIDE)):
+                if any(map(text.__contains__, WHOLE)) or self._has_added(text) or not text.isascii() and any(map(text.__contains__, WHOLE_WIDE)):
                     whole[i] = self._whole(text)
                 else:
                     # A chunk that follows a space comes without it; those that open with a line feed keep it; the first bears a mark.

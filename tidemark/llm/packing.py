@@ -7,6 +7,8 @@ Only the counts of each length decide where items of that length go, and there a
 plan is made on the driver from this histogram, whose size does not depend on the data; it says, for runs of the ranks
 of a length, in which sequences they lie.  Rows learn their rank among the items of their length from one small
 aggregation, and then find their place in the plan on their own.
+
+``sequences`` then puts the ids of each sequence together, at most ``capacity`` of them.
 """
 
 from __future__ import annotations
@@ -120,7 +122,7 @@ def _wider(df: DataFrame, *names: str) -> T.StructType:
 def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
     """``items`` with sequence_id and offset added; ``length`` (1 to capacity) says how long a row is.
 
-    Sequences are gapless from offset 0.  An empty table gives an empty table; a null length is an error.
+    All other columns, ids among them, go along.  Sequences are gapless from offset 0.  An empty table gives an empty table; a null length is an error.
     Columns named sequence_id, offset, pack_part or pack_rank are replaced.
     """
     kept = items.drop("sequence_id", "offset", "pack_part", "pack_rank")
@@ -160,3 +162,16 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(first + over // each), pa.array(offset + over % each * n)], [*names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, _wider(kept, "sequence_id", "offset"))
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids, length, parts): the ids of each packed sequence one after the other, and its parts as (doc_id, piece, start, length, offset).
+
+    ``packed`` is ``pack`` of pieces with ids.  A sequence holds at most ``capacity`` ids, so a group is never large.
+    """
+    part = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
+    whole = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("held"))
+    ids = F.aggregate("held", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    length = F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + x["length"])
+    parts = F.transform("held", lambda x: F.struct(*(x[n].alias(n) for n in ("doc_id", "piece", "start", "length", "offset"))))
+    return whole.select("sequence_id", ids.alias("ids"), length.alias("length"), parts.alias("parts"))

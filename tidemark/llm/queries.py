@@ -15,8 +15,8 @@ def _id_remainder(n: int) -> Column:
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = staged(packing.token_pieces(table(spark, sf_dir, "documents"), 2048, payload="crc32"), "pieces")
-    return packing.pack(pieces, 2048)
+    packed = packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), 2048), 2048)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sizes = staged(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")), "words")
-    mixed = mixing.mix(sizes, size=F.col("words"))
+    sizes = staged(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"), mixing.place_of(docs).alias("place")), "words")
+    mixed = mixing.mix(sizes, size=F.col("words"), row=F.col("place"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
@@ -37,10 +37,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.sharded(table(spark, sf_dir, "documents"), 16)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    digest = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = sharding.sharded(digest, 16)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text)
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:

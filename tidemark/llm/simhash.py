@@ -6,9 +6,10 @@ of the ten choices of two blocks is a table that routes a node to a shard by the
 no link.  The nodes of every other shard form a BK-tree: a child hangs from its parent by their Hamming distance, and a search
 that met a node at distance d follows only the edges from d - 3 to d + 3.
 
-Trees of many small shards are built and searched together, level by level, in NumPy.  A large shard (near copies agree on
-most blocks) is split: each part of at most ``tree_nodes`` nodes is one tree, sent to the tasks that search it, and the shard's nodes
-are searched in each.  From each tree only a spanning forest of the links leaves, never all pairs.
+Trees of many small shards are built and searched together, level by level, in NumPy.  A shard of more than ``tree_nodes`` nodes is
+routed once more: of four parts of the bits that its blocks leave open at least one agrees.  What is still larger is split: each part of
+about ``tree_nodes`` nodes is one tree, and it meets the shard's nodes a chunk of them at a time, so that no group grows with the shard.
+From each tree only a spanning forest of the links leaves, never all pairs.
 
 Components come from alternating large-star and small-star steps over these links, each step written to the shared folder.
 """
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces_of, staged
@@ -52,10 +53,14 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     starts = [0, *(ends[: -width] + 1).tolist()]
     shingles = map(line.__getitem__, map(slice, starts, ends[width - 1 :].tolist()))
     n = len(starts)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, itertools.repeat(seed, n)), np.uint64, n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, itertools.repeat(seed, n)), np.uint64, n))
+
+
+def majority(h: np.ndarray) -> int:
+    """Of each bit, whether it is set in over half of the hashes; zero for none."""
     # how often each value of each byte comes, then how often each bit
     seen = np.bincount((h.astype("<u8").view(np.uint8).reshape(-1, 8) + _LANES).ravel(), minlength=2048).reshape(8, 256)
-    ones = (seen @ _BITS).ravel() * 2 > n
+    ones = (seen @ _BITS).ravel() * 2 > len(h)
     return int(np.packbits(ones, bitorder="little").view("<u8")[0])
 
 
@@ -156,25 +161,66 @@ def _spanning(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
     return out[out["a"] != out["b"]].drop_duplicates()
 
 
+def _bits_of(parts: list[tuple[int, int]]) -> Column:
+    """Bits (from, how many) of ``fp``, one after the other, as a number."""
+    out, at = F.lit(0).cast("long"), 0
+    for low, width in parts:
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1).cast("long")), at))
+        at += width
+    return out
+
+
+def _tables() -> list[tuple[list[tuple[int, int]], list[list[tuple[int, int]]]]]:
+    """Of each choice of two blocks: their bits, and the bits of the other three in four parts."""
+    places = [(sum(BLOCKS[:i]), w) for i, w in enumerate(BLOCKS)]
+    out = []
+    for two in itertools.combinations(range(len(BLOCKS)), 2):
+        rest = [low + k for i, (low, w) in enumerate(places) if i not in two for k in range(w)]
+        cuts = [rest[len(rest) * k // 4 : len(rest) * (k + 1) // 4] for k in range(4)]
+        out.append(([places[i] for i in two], [_stretches(part) for part in cuts]))
+    return out
+
+
+def _stretches(bits: list[int]) -> list[tuple[int, int]]:
+    """Ascending bits as (from, how many)."""
+    out: list[tuple[int, int]] = []
+    for b in bits:
+        if out and sum(out[-1]) == b:
+            out[-1] = (out[-1][0], out[-1][1] + 1)
+        else:
+            out.append((b, 1))
+    return out
+
+
+def _sized(keyed: DataFrame, label: str) -> DataFrame:
+    """(fp, key, table, m): rows of ``keyed`` whose key comes more than once, and how often."""
+    sizes = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), f"{label}-sizes")
+    return staged(keyed.join(sizes, "key").select("fp", "key", "table", "m"), label)
+
+
 def links(nodes: DataFrame, radius: int = 3, tree_nodes: int = TREE_NODES) -> DataFrame:
     """(a, b): links among distinct ``fp`` values that connect exactly what links within the radius connect."""
     if radius > 3:
         raise ValueError("five blocks with two in common are exact up to 3 differing bits")
-    cut, at = [], 0
-    for width in BLOCKS:
-        cut.append((F.shiftrightunsigned("fp", at)).bitwiseAND(F.lit((1 << width) - 1)))
-        at += width
-    tables = [F.struct(F.lit(t).cast("long").alias("table"), (F.shiftleft(cut[i], 13) + cut[j]).cast("long").alias("values")) for t, (i, j) in enumerate(itertools.combinations(range(5), 2))]
-    keyed = nodes.select("fp", F.explode(F.array(*tables)).alias("k")).select("fp", F.shiftleft("k.values", 4).bitwiseOR(F.col("k.table")).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    tables = _tables()
+    routes = F.array(*[F.struct(F.lit(t).alias("table"), _bits_of(two).alias("values")) for t, (two, _) in enumerate(tables)])
+    keyed = nodes.select("fp", F.explode(routes).alias("k")).select("fp", "k.table", F.shiftleft("k.values", 4).bitwiseOR(F.col("k.table").cast("long")).alias("key"))
+    shared = _sized(keyed, "simhash-shared")
+    # three bits at most lie in the open part of a shard, so one of its four parts is free of them
+    large = shared.filter(F.col("m") > tree_nodes)
+    cut = F.array(*[F.array(*[F.xxhash64(F.lit(k), _bits_of(part)) for k, part in enumerate(parts)]) for _, parts in tables])
+    again = large.select("fp", "table", "key", F.explode(F.element_at(cut, F.col("table") + 1)).alias("part")).select("fp", "table", F.xxhash64("key", "part").alias("key"))
+    finer = _sized(again, "simhash-finer")
+    grouped = shared.filter(F.col("m") <= tree_nodes).unionByName(finer)
+    # a node goes into one tree of its shard, and to each of its trees in one chunk
     parts = F.ceil(F.col("m") / F.lit(tree_nodes)).cast("int")
-    shared = staged(keyed.join(sizes, "key").select("fp", "key", parts.alias("parts")), "simhash-shared")
-    own = F.pmod(F.xxhash64(F.lit(9), "fp"), F.col("parts"))
-    # a node goes to every part of its shard, and into the tree of one
-    sent = shared.withColumn("own", own).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
-    groups = max(1, shared.agg(F.sum(F.col("parts").cast("long"))).first()[0] or 1) // GROUP_NODES + 1
-    sent = sent.select("fp", (F.col("own") == F.col("part")).alias("in_tree"), F.xxhash64("key", "part").alias("shard"))
-    grouped = sent.withColumn("group", F.pmod(F.col("shard"), F.lit(groups)))
+    split = grouped.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64(F.lit(9), "fp"), F.col("parts"))).withColumn("chunk", F.pmod(F.xxhash64(F.lit(10), "fp"), F.col("parts")))
+    asks = split.filter("parts > 1").select("fp", "key", F.lit(False).alias("in_tree"), "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("tree"))
+    held = split.filter("parts > 1").select("fp", "key", F.lit(True).alias("in_tree"), F.col("own").alias("tree"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("chunk"))
+    one = split.filter("parts = 1").select("fp", "key", F.lit(True).alias("in_tree"), "chunk", F.col("own").alias("tree"))
+    sent = one.unionByName(asks).unionByName(held).select("fp", "in_tree", F.xxhash64("key", "tree", "chunk").alias("shard"))
+    total = split.agg(F.sum(F.when(F.col("parts") > 1, 2 * F.col("parts")).otherwise(1).cast("long"))).first()[0] or 0
+    grouped = sent.withColumn("group", F.pmod(F.col("shard"), F.lit(total // GROUP_NODES + 1)))
     return grouped.groupBy("group").applyInPandas(lambda pdf: _spanning(pdf, radius), "a long, b long")
 
 

@@ -3,21 +3,24 @@
 A window is ``window`` consecutive words.  A window is a duplicate if its words also start anywhere else; words covered by a
 duplicate window are removed.  All windows are judged on the input.
 
-Every document is parsed into factors, stretches that also stand in a reference.  The whole corpus is the reference, split into blocks
-such that whatever two documents share lies in one block: each window belongs to its minimizer, the word run of length ``anchor`` within
-it that hashes lowest (the first of equals), and the minimizer's hash names the block.  So a document falls into pieces, the
-runs of windows with one minimizer, and a piece has to be compared with one block only instead of with all.
+Every document is parsed into factors, the longest stretches that also stand in a reference block.  The reference is the corpus itself, each different
+window where it stands first (by doc_id); the stretches of a document that are first form its blocks, so a window stands once in the
+reference and a factor goes on as long as the reference does.  What stands first is held against the place where it stands last, so no factor is its own reference.
+
+The index of the reference is cut so that a document meets only what it can share a window with: each window belongs to its minimizer, the word run of
+length ``anchor`` within it that hashes lowest (the first of equals).  A document falls into pieces, the runs of windows with one
+minimizer, of at most ``window - anchor + 1`` windows, and a piece is factored against the pieces with the same minimizer:
 
 1. Pieces whose minimizer comes once in the corpus share nothing; they are dropped after one count by minimizer.
-2. A piece that equals another one of its block as a whole is one factor: greedy, it can't be longer within the block.
-3. Else the factor ends within the piece, at a place where the documents begin to differ.  Windows at such boundaries are looked up
-   one by one in an index of the windows of all different pieces of the block.
+2. Each different piece is parsed once, however often it comes.  If all pieces of a minimizer are the same, it is one factor.
+3. Else factors end within pieces, where documents begin to differ.  Windows at such boundaries are looked up one by one in an index
+   of the windows of all different pieces of the minimizer.
 
-Neighbouring factors with the same reference at the same distance are then joined into the longest ones.  Blocks are the partitions of Spark's
-aggregations: equal pieces and windows are combined before they are shuffled, so a passage in a third of all documents costs
+Every occurrence of a piece takes over its parse, and neighbouring parts with the same reference at the same distance are joined into the
+longest factors.  Equal pieces and windows are combined before they are shuffled, so a passage in a third of all documents costs
 as many rows as there are tasks, and the texts around it, all different, spread over all partitions.
 
-Equality is that of two 64-bit hashes over the words' bytes together: minimizer and piece, or minimizer and window.
+Equality is that of two 64-bit hashes together, of minimizer and piece, or of minimizer and window, both over the XXH64 of each word.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,27 +38,27 @@ from pyspark.sql import types as T
 from tidemark.llm.common import pieces_of, staged
 
 WINDOW, ANCHOR = 35, 8
+#: Stands for a doc_id that is null.
+NOBODY = -(1 << 63)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_SEEDED = np.random.default_rng(20)
-_BYTE = _SEEDED.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Odd bases have inverses modulo 2**64.
-_BASES = {"byte": 0x9E3779B97F4A7C17, "word": 0xD6E8FEB86659FD93 + 2}
-_powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+#: Odd, so that it has an inverse modulo 2**64.
+_BASE = 0xD6E8FEB86659FD93 + 2
+_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
-def _power(which: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of a base and of its inverse, modulo 2**64."""
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64."""
+    global _powers
+    if len(_powers[0]) < n:
         size, out = max(n, 1 << 20), []
-        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             out.append(np.cumprod(steps, dtype=np.uint64))
-        have = _powers[which] = (out[0], out[1])
-    return have[0][:n], have[1][:n]
+        _powers = (out[0], out[1])
+    return _powers[0][:n], _powers[1][:n]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -66,12 +70,6 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _sums(x: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x, out=out[1:], dtype=np.uint64)
-    return out
-
-
 class Words:
     """The words of some texts: byte places, first word of each text, and hashes of any run of words."""
 
@@ -90,11 +88,11 @@ class Words:
             closes[offsets[1:][offsets[1:] > 0] - 1] = True
         self.start, self.end = np.flatnonzero(opens & ~space), np.flatnonzero(closes & ~space) + 1
         self.first = np.searchsorted(self.start, offsets)
-        up, down = _power("byte", len(self.data) + 1)
-        bytes_ = _sums(_BYTE[self.data] * up[: len(self.data)])
-        word = _mixed((bytes_[self.end] - bytes_[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
-        up, self._down = _power("word", len(word) + 1)
-        self._run = _sums(word * up[: len(word)])
+        each = [w for t in col.to_pylist() for w in t.split()]
+        word = np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64, len(each))
+        up, self._down = _power(len(word) + 1)
+        self._run = np.zeros(len(word) + 1, np.uint64)
+        np.cumsum(word * up[: len(word)], out=self._run[1:], dtype=np.uint64)
 
     def hashes(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
         """Of the n words from each place on."""
@@ -127,7 +125,7 @@ class Words:
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with sub_doc and sub_text, which tell rows apart; rows equal in both are parsed alike, each for itself.  Neither is ever null."""
     text = F.col("text").cast("string")
-    return docs.withColumn("sub_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("sub_text", F.xxhash64(F.lit(1), text))
+    return docs.withColumn("sub_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY))).withColumn("sub_text", F.xxhash64(F.lit(1), text))
 
 
 def _pieces(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -144,99 +142,115 @@ def _pieces(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def _boundary_windows(listed: DataFrame, window: int) -> DataFrame:
-    """The windows of the pieces listed beside each text: (sub_doc, sub_text, pos, mini, hash, copies)."""
+    """The windows of the pieces listed beside each text: (mini, piece, at, hash, copies, first, last), ``at`` being the window's number in its piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 1 << 20):
             words, listed_ = Words(batch.column(2)), batch.column(3)
             row = pc.list_parent_indices(listed_).to_numpy(zero_copy_only=False)
-            start, n, mini, copies = (pc.struct_field(listed_.flatten(), k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+            start, n, mini, piece, copies, last_doc, last_text, last_start = (pc.struct_field(listed_.flatten(), k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8))
             which = np.repeat(np.arange(len(n)), n)
-            pos = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
             rows = pa.array(row[which])
-            h = words.hashes(words.first[row[which]] + pos, window)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos.astype(np.int32)), pa.array(mini[which]), pa.array(h.view(np.int64)), pa.array(copies[which].astype(np.int32))],
-                ["sub_doc", "sub_text", "pos", "mini", "hash", "copies"],
-            )
+            h = words.hashes(words.first[row[which]] + start[which] + at, window)
+            place = lambda doc, text, begin: pa.StructArray.from_arrays([doc, text, pa.array((begin[which] + at).astype(np.int32))], ["doc", "text", "start"])
+            first = place(batch.column(0).take(rows), batch.column(1).take(rows), start)
+            last = place(pa.array(last_doc[which]), pa.array(last_text[which]), last_start)
+            yield pa.RecordBatch.from_arrays([pa.array(mini[which]), pa.array(piece[which]), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(copies[which]), first, last], ["mini", "piece", "at", "hash", "copies", "first", "last"])
 
-    return listed.mapInArrow(run, "sub_doc long, sub_text long, pos int, mini long, hash long, copies int")
+    place = "struct<doc:long,text:long,start:int>"
+    return listed.mapInArrow(run, f"mini long, piece long, at int, hash long, copies long, first {place}, last {place}")
 
 
 def _parsed(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(sub_doc, sub_text, found): the runs of duplicate windows of a text as (start, n, ref_doc, ref_start), in no order, with repeats."""
+    """(sub_doc, sub_text, found): the duplicate windows of a text as (start, parts), parts being (at, n, first, last): n windows from start + at on, and where they stand first and last."""
     pieces = _pieces(keyed, window, anchor)
     # what is joined back is written first: a join of two plain scans has partitions that Spark can split where a key is hot
     often = staged(pieces.groupBy("mini").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("mini"), "substrings-often")
     shared = staged(pieces.join(often, "mini"), "substrings-shared")
-    # of the pieces of a block, each different one once: how often it comes, and where it comes first
-    first = F.min(F.struct("sub_doc", "sub_text", "start")).alias("first")
-    different = staged(shared.groupBy("mini", "piece").agg(F.count(F.lit(1)).alias("copies"), first), "substrings-different")
-    judged = staged(shared.join(different, ["mini", "piece"]), "substrings-judged")
-    factors = judged.filter("copies > 1").select("sub_doc", "sub_text", "start", "n", F.col("first.sub_doc").alias("ref_doc"), F.col("first.start").alias("ref_start"))
-    # blocks with more than one different piece have boundaries: look up pieces that come once, against one copy of all
-    sample = judged.filter("(copies = 1) or (sub_doc = first.sub_doc and sub_text = first.sub_text and start = first.start)")
+    # each different piece once: how often it comes, and where it comes first and last
+    place = F.struct(F.col("sub_doc").alias("doc"), F.col("sub_text").alias("text"), "start")
+    different = staged(shared.groupBy("mini", "piece").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")), "substrings-different")
     mixed = staged(different.groupBy("mini").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("mini"), "substrings-mixed")
-    listed = sample.join(mixed, "mini").groupBy("sub_doc", "sub_text").agg(F.collect_set(F.struct("start", "n", "mini", F.least("copies", F.lit(2)).cast("int").alias("copies"))).alias("listed"))
-    texts = keyed.join(listed, ["sub_doc", "sub_text"]).select("sub_doc", "sub_text", "text", "listed")
+    alone = different.join(mixed, "mini", "left_anti").filter("copies > 1")
+    whole = alone.select("mini", "piece", F.array(F.struct(F.lit(0).alias("at"), "n", "first", "last")).alias("parts"))
+    entry = F.struct(F.col("first.start").alias("start"), "n", "mini", "piece", "copies", F.col("last.doc").alias("last_doc"), F.col("last.text").alias("last_text"), F.col("last.start").alias("last_start"))
+    listed = different.join(mixed, "mini").groupBy(F.col("first.doc").alias("sub_doc"), F.col("first.text").alias("sub_text")).agg(F.collect_list(entry).alias("listed"))
+    # rows equal in id and text are one
+    texts = keyed.join(listed, ["sub_doc", "sub_text"]).groupBy("sub_doc", "sub_text").agg(F.first(F.struct("text", "listed")).alias("own")).select("sub_doc", "sub_text", "own.text", "own.listed")
     windows = staged(_boundary_windows(texts, window), "substrings-windows")
-    index = windows.groupBy("mini", "hash").agg(F.sum("copies").alias("c"), F.min(F.struct("sub_doc", F.col("pos").alias("start"))).alias("ref")).filter("c > 1")
+    index = windows.groupBy("mini", "hash").agg(F.sum("copies").alias("c"), F.min("first").alias("first"), F.max("last").alias("last")).filter("c > 1").drop("c")
     index = staged(index, "substrings-index")
-    found = windows.filter("copies = 1").join(index, ["mini", "hash"]).select("sub_doc", "sub_text", F.col("pos").alias("start"), F.lit(1).alias("n"), F.col("ref.sub_doc").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
-    return factors.union(found).groupBy("sub_doc", "sub_text").agg(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("found"))
-
-
-def _factors(start: np.ndarray, n: np.ndarray, doc: np.ndarray, ref: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """The greedy parse: from left to right, runs of windows with one reference at one distance become one factor (start, words, ref_doc, ref_start)."""
-    order = np.lexsort((n, start))
-    start, n, doc, ref = start[order], n[order], doc[order], ref[order]
+    looked = windows.select("mini", "piece", "at", "hash").join(index, ["mini", "hash"])
+    # a piece has at most window - anchor + 1 windows
+    cut = looked.groupBy("mini", "piece").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), "first", "last")).alias("parts"))
+    parts = staged(whole.unionByName(cut), "substrings-parts")
+    return shared.join(parts, ["mini", "piece"]).groupBy("sub_doc", "sub_text").agg(F.collect_set(F.struct("start", "parts")).alias("found"))
+
+
+def _factors(doc: int, text: int, found: dict[str, np.ndarray], window: int) -> tuple[np.ndarray, ...]:
+    """The greedy parse: from left to right, as far as one reference goes on, (start, words, ref_doc, ref_start).  ``found``: stretches of duplicate windows."""
+    order = np.argsort(found["start"], kind="stable")
+    start, n, f_doc, f_text, f_start, l_doc, l_start = (found[k][order] for k in ("start", "n", "f_doc", "f_text", "f_start", "l_doc", "l_start"))
+    own = (f_doc == doc) & (f_text == text) & (f_start == start)
+    ref, at = np.where(own, l_doc, f_doc), np.where(own, l_start, f_start)
     new = np.ones(len(start), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (ref[1:] - start[1:] != ref[:-1] - start[:-1]) | (start[1:] > start[:-1] + n[:-1])
-    at = np.flatnonzero(new)
-    return start[at], np.maximum.reduceat(start + n, at) - start[at] + window - 1, doc[at], ref[at]
+    new[1:] = (ref[1:] != ref[:-1]) | (at[1:] - start[1:] != at[:-1] - start[:-1]) | (start[1:] != start[:-1] + n[:-1])
+    i = np.flatnonzero(new)
+    ends = np.append(i[1:], len(start)) - 1
+    return start[i], start[ends] + n[ends] - start[i] + window - 1, ref[i], at[i]
 
 
 def without_duplicates(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` with ``text`` cut to the words that stay, and n_words, n_removed and ``factors``.
 
     The words that stay are joined by one space.  ``factors`` lists the duplicate spans as (start, length, ref_doc, ref_start)
-    in words; the reference is the first place, by doc_id, at which the same words were found, which may be the span itself.  Null
-    texts become empty; texts shorter than the window lose nothing; repeated rows are copies of each other; all other columns stay as they
-    are.  Columns named n_words, n_removed, factors, sub_doc, sub_text or found are replaced.
+    in words, by start; they may overlap by less than a window.  The reference is another place at which the same words stand (of rows that are equal in id and text, the
+    other row); ref_doc is null where that row has no id.  Null texts become empty; texts shorter than the window lose nothing; repeated rows are copies of each other; all
+    other columns stay as they are; an empty table gives an empty table.  Columns named n_words, n_removed, factors, sub_doc, sub_text or found are replaced.
     """
     keyed = _keyed(docs.drop("n_words", "n_removed", "factors", "sub_doc", "sub_text", "found").withColumn("text", F.col("text").cast("string")))
-    joined = keyed.join(_parsed(keyed.select("sub_doc", "sub_text", "text"), window, anchor), ["sub_doc", "sub_text"], "left").drop("sub_doc", "sub_text")
-    names = [c for c in joined.columns if c != "found"]
-    where, last = names.index("text"), joined.columns.index("found")
+    joined = keyed.join(_parsed(keyed.select("sub_doc", "sub_text", "text"), window, anchor), ["sub_doc", "sub_text"], "left")
+    names = [c for c in joined.columns if c not in ("found", "sub_doc", "sub_text")]
+    columns = {c: joined.columns.index(c) for c in joined.columns}
     factor = T.StructType.fromDDL("start int, length int, ref_doc long, ref_start int")
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
 
+    def flat(lists: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """The row of each stretch of duplicate windows, and its columns."""
+        inner = lists.flatten()
+        parts = pc.struct_field(inner, 1)
+        parent = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
+        row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[parent]
+        each = parts.flatten()
+        number = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
+        get = lambda *path: number(pc.struct_field(each, list(path)))
+        return row, {"start": number(pc.struct_field(inner, 0))[parent] + get(0), "n": get(1), "f_doc": get(2, 0), "f_text": get(2, 1), "f_start": get(2, 2), "l_doc": get(3, 0), "l_start": get(3, 2)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
             texts, counts, removed, factors = [], [], [], []
-            lists = batch.column(last)
-            flat = lists.flatten()
-            fields = [pc.struct_field(flat, k).to_numpy(zero_copy_only=False) for k in range(4)]
-            length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(length)
-            for text, a, b in zip(batch.column(where).cast(pa.binary()).to_pylist(), (ends - length).tolist(), ends.tolist(), strict=True):
-                words = (text or b"").split()
+            row, found = flat(batch.column(columns["found"]))
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            docs_, sub = (batch.column(columns[c]).to_numpy(zero_copy_only=False) for c in ("sub_doc", "sub_text"))
+            for i, text in enumerate(batch.column(columns["text"]).cast(pa.binary()).to_pylist()):
+                words, a, b = (text or b"").split(), ends[i], ends[i + 1]
                 counts.append(len(words))
                 if a < b:
-                    start, n, doc, ref = _factors(*(f[a:b].astype(np.int64) for f in fields), window)
+                    start, n, doc, ref = _factors(docs_[i], sub[i], {k: v[a:b] for k, v in found.items()}, window)
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + n, -1)
                     stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                     removed.append(len(words) - len(stay))
                     words = [words[i] for i in stay.tolist()]
-                    factors.append([dict(zip(("start", "length", "ref_doc", "ref_start"), f, strict=True)) for f in zip(start.tolist(), n.tolist(), doc.tolist(), ref.tolist(), strict=True)])
+                    factors.append([{"start": s, "length": m, "ref_doc": None if d == NOBODY else d, "ref_start": r} for s, m, d, r in zip(start.tolist(), n.tolist(), doc.tolist(), ref.tolist(), strict=True)])
                 else:
                     removed.append(0)
                     factors.append([])
                 texts.append(b" ".join(words))
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(factors, kinds)], [*names, "n_words", "n_removed", "factors"])
+            out = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(columns[c]) for c in names]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(factors, kinds)], [*names, "n_words", "n_removed", "factors"])
 
     schema = T.StructType([*(joined.schema[c] for c in names), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("factors", T.ArrayType(factor))])
     return joined.mapInArrow(run, schema)

@@ -1,10 +1,14 @@
-"""Texts that share most of their shingles: candidates by MinHash bands, confirmed by exact Jaccard similarity.
+"""Near copies: SimHash fingerprints in BK-trees propose pairs, exact Jaccard similarity of word shingles confirms them.
 
-Different texts are nodes.  20 bands of 5 minima propose a pair of similarity s with probability 1 - (1 - s**5)**20: 99.96% at 0.8, 99.9999% at 0.9.
-Texts of a small bucket are compared with each other.  Those of a large one are compared with its pivot; what is not similar
-enough to the pivot stays in the bucket without those that are, and has four times as many pivots next, until nothing is left.  So a
-large group of near copies costs about one pair a text and band.  There, two similar
-texts of which only one is similar enough to a pivot are linked by another band or not at all.
+At a similarity of 0.8 fingerprints of five-word shingles differ in about 10 bits of 64, far too many for shards made of a few
+blocks of bits.  So a text's shards come from the shingles themselves: 20 keys, each of 5 minima of seeded hashes.  Two texts of similarity s share one with probability
+1 - (1 - s**5)**20: 99.96% at 0.8, 99.9999% at 0.9.  A shard is a BK-tree, searched within RADIUS bits, which a pair of 0.8 exceeds once in
+some hundred thousand times.  Different texts are nodes.
+
+Of a small shard all pairs within the radius are confirmed or not.  A large one (a text copied thousands of times with small changes) would have
+too many: its members are first held against one pivot, those that it does not link against eight more.  Then components are known, and what is
+left of the shard, its members outside its largest component, is held against all members of other components.  So whatever pairs are
+skipped lie within one component already, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -12,20 +16,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces_of, staged
-from tidemark.llm.simhash import components
+from tidemark.llm.simhash import GROUP_NODES, Forest, components, majority
 from tidemark.llm.substrings import Words, _mixed
 
-BANDS, ROWS = 20, 5
-#: Texts of a bucket that are all compared with each other.
-SMALL = 16
+KEYS, ROWS = 20, 5
+#: Bits in which fingerprints of a proposed pair may differ.
+RADIUS = 24
+#: Nodes of a shard whose pairs are all looked at, and pivots of larger ones.
+SMALL, PIVOTS = 16, (1, 8)
 
 _SEEDED = np.random.default_rng(31)
-_SALT, _ODD = (_SEEDED.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_SALT, _ODD = (_SEEDED.integers(0, 1 << 63, KEYS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
 
 def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,24 +44,25 @@ def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]
     return words.hashes(at, np.repeat(np.minimum(n_words, width), n)), n
 
 
-def _bands(texts: DataFrame, width: int) -> DataFrame:
-    """(node, bands) of each row of (node, text)."""
+def _routed(texts: DataFrame, width: int) -> DataFrame:
+    """(node, fp, keys) of each row of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 1 << 20):
             h, n = shingle_hashes(batch.column(1), width)
             some = np.flatnonzero(n)
             begin = (np.cumsum(n) - n)[some]
-            out = np.zeros((batch.num_rows, BANDS), np.uint64)  # texts without words are a group
-            for band in range(BANDS if len(some) else 0):
-                of = np.full(len(some), band + 1, np.uint64)
-                for k in range(band * ROWS, (band + 1) * ROWS):
+            out = np.zeros((batch.num_rows, KEYS), np.uint64)  # texts without words are a group
+            for key in range(KEYS if len(some) else 0):
+                of = np.full(len(some), key + 1, np.uint64)
+                for k in range(key * ROWS, (key + 1) * ROWS):
                     of = _mixed(of ^ np.minimum.reduceat((h ^ _SALT[k]) * _ODD[k], begin))
-                out[some, band] = of
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "bands"])
+                out[some, key] = of
+            fp = np.fromiter((majority(x) for x in np.split(h, np.cumsum(n)[:-1])), np.uint64, batch.num_rows)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel().view(np.int64)), KEYS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), lists], ["node", "fp", "keys"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, bands array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, fp long, keys array<long>")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -69,46 +77,87 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def links(texts: DataFrame, width: int = 5, least: float = 0.8, small: int = SMALL) -> DataFrame:
-    """(a, b): pairs of nodes with a Jaccard similarity of ``least`` or more, from (node, text) with each node once."""
-    banded = staged(_bands(texts, width), "near-bands")
-    here = banded.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
-    found, pivots = None, 1
-    while True:
-        sizes = here.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("key", "node"), "node")).alias("p")).filter("m > 1")
-        sizes = staged(sizes.select("key", "m", F.col("p.node").alias("pivot")), "near-buckets")
-        # one pivot at least, and about `pivots` by a hash, others in each bucket
-        chosen = (F.col("node") == F.col("pivot")) | (F.pmod(F.xxhash64(F.lit(pivots), "key", "node"), F.ceil(F.col("m") / pivots)) == 0)
-        shared = staged(here.join(sizes, "key").withColumn("chosen", chosen), "near-shared")
-        all_pairs = F.col("m") <= max(small, pivots)
-        few, many = shared.filter(all_pairs), shared.filter(~all_pairs)
-        met = many.join(many.filter("chosen").select("key", F.col("node").alias("other")), "key").filter("node <> other")
-        met = met.select("key", "node", F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        lists = few.groupBy("key").agg(F.collect_list("node").alias("all"))
-        close = lists.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).filter("a < b")
-        pairs = close.union(met.select("a", "b")).distinct()
-        pairs = staged(pairs, "near-pairs")
-        if pairs.isEmpty():
-            break
-        meant = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-meant")
-        sets = staged(_sets(texts.join(meant, "node", "left_semi"), width), "near-sets")
-        first = pairs.join(sets.toDF("a", "of_a"), "a")
-        both = F.size(F.array_intersect("of_a", "of_b"))
-        either = F.size("of_a") + F.size("of_b") - both
-        # two texts without words are equal
-        near = first.join(sets.toDF("b", "of_b"), "b").filter((either == 0) | (both >= F.lit(least) * either)).select("a", "b")
-        near = staged(near, "near-links")
-        found = near if found is None else found.union(near)
-        gone = met.join(near, ["a", "b"], "left_semi").select("key", "node").distinct()
-        here = staged(many.filter("not chosen").select("key", "node").join(gone, ["key", "node"], "left_anti").select("node", "key"), "near-rest")
-        pivots *= 4
-        if here.isEmpty():
-            break
-    return texts.sparkSession.createDataFrame([], "a long, b long") if found is None else found
+def _of_trees(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
+    """(a, b): all pairs within the radius of each shard of a group."""
+    node, shard, fp = (pdf[c].to_numpy(np.int64) for c in ("node", "key", "fp"))
+    forest = Forest(shard, fp.view(np.uint64))
+    start = np.array([forest.root[s] for s in shard.tolist()], np.int64)
+    a, b = [], []
+    for at in range(0, len(node), 1024):
+        i, other = forest.search(fp[at : at + 1024].view(np.uint64), start[at : at + 1024], radius)
+        a.append(node[at + i])
+        b.append(node[other])
+    a, b = np.concatenate(a), np.concatenate(b)
+    out = pd.DataFrame({"a": a[a < b], "b": b[a < b]})
+    return out.drop_duplicates()
+
+
+def _off(a: str, b: str) -> Column:
+    """Bits in which two fingerprints differ."""
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) with a similarity of ``least`` or more; two texts without words are equal."""
+    first = pairs.join(sets.toDF("a", "of_a"), "a")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    either = F.size("of_a") + F.size("of_b") - both
+    return staged(first.join(sets.toDF("b", "of_b"), "b").filter((either == 0) | (both >= F.lit(least) * either)).select("a", "b"), "near-links")
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    return staged(df.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "near-pairs")
+
+
+def links(texts: DataFrame, width: int = 5, least: float = 0.8, small: int = SMALL, radius: int = RADIUS) -> DataFrame:
+    """(a, b): pairs of nodes with a Jaccard similarity of ``least`` or more, from (node, text) with each node once.
+
+    All such pairs of small shards; of large ones as many as it takes to connect what all of them connect.
+    """
+    routed = staged(_routed(texts, width), "near-routed")
+    keyed = routed.select("node", "fp", F.posexplode("keys").alias("key", "value")).select("node", "fp", F.xxhash64("key", "value").alias("key"))
+    sizes = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("key", "node")).alias("lowest")).filter("m > 1"), "near-sizes")
+    shared = staged(keyed.join(sizes, "key"), "near-shared")
+    sets = staged(_sets(texts.join(shared.select("node").distinct(), "node", "left_semi"), width), "near-sets")
+    few, large = shared.filter(F.col("m") <= small), shared.filter(F.col("m") > small)
+    groups = few.count() // GROUP_NODES + 1
+    trees = few.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group").applyInPandas(lambda pdf: _of_trees(pdf, radius), "a long, b long")
+    found = _confirmed(staged(trees.distinct(), "near-pairs"), sets, least)
+    rest = large
+    for pivots in PIVOTS:
+        # the lowest hash of a shard is a pivot of the first round, and about `pivots` others are by a hash of the round
+        chosen = (F.xxhash64("key", "node") == F.col("lowest")) if pivots == 1 else F.pmod(F.xxhash64(F.lit(pivots), "key", "node"), F.ceil(F.col("m") / pivots)) == 0
+        to = large.filter(chosen).select("key", F.col("node").alias("other"), F.col("fp").alias("other_fp"))
+        met = staged(rest.join(to, "key").filter((F.col("node") != F.col("other")) & (_off("fp", "other_fp") <= radius)).select("key", "node", "other"), "near-met")
+        near = _confirmed(_pairs(met), sets, least)
+        found = found.unionByName(near)
+        linked = met.withColumns({"a": F.least("node", "other"), "b": F.greatest("node", "other")}).join(near, ["a", "b"], "left_semi")
+        rest = staged(rest.join(linked.select("key", "node").distinct(), ["key", "node"], "left_anti").select(*large.columns), "near-rest")
+    found = staged(found.distinct(), "near-found")
+    return found.unionByName(_between_components(large, found, sets, least, radius))
+
+
+def _between_components(large: DataFrame, found: DataFrame, sets: DataFrame, least: float, radius: int) -> DataFrame:
+    """Links between members of different components of a large shard; all members but those of its largest component are held against all."""
+    roots = components(found)
+    of = large.select("key", "node", "fp").join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    of = staged(of.select("key", "node", "fp", F.coalesce("root", "node").alias("component")), "near-labelled")
+    counts = of.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = counts.groupBy("key").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component"))["component"].alias("largest")).filter("components > 1")
+    several = staged(several.select("key", "largest"), "near-several")
+    inside = staged(of.join(several, "key"), "near-several-members")
+    minor = inside.filter(F.col("component") != F.col("largest")).select("key", "node", "fp", "component")
+    others = inside.select("key", F.col("node").alias("other"), F.col("fp").alias("other_fp"), F.col("component").alias("other_component"))
+    cross = minor.join(others, "key").filter((F.col("component") != F.col("other_component")) & (_off("fp", "other_fp") <= radius))
+    return _confirmed(_pairs(cross), sets, least)
 
 
 def grouped(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """(node, component): for each different text, named by its xxhash64, the smallest node that links reach."""
+    """(node, component): for each different text, named by its xxhash64, the smallest node that links reach.
+
+    A null text is a text of its own, and like all texts without words it is a near copy of the empty one.  Repeated rows are one
+    node; only the text is read; an empty table gives none.
+    """
     text = F.col("text").cast("string")
     named = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
     # equal texts are combined before they are shuffled

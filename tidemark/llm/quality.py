@@ -13,7 +13,7 @@ from tidemark.llm.boosting import Boosted
 from tidemark.llm.common import pieces_of, staged
 from tidemark.llm.textstats import TextStats
 
-#: Labelled rows the trees are fitted on at most: those whose ids hash lowest.
+#: Labelled documents the trees are fitted on at most: those whose ids hash lowest.
 SAMPLE = 20_000
 
 
@@ -30,14 +30,24 @@ def document_features(docs: DataFrame) -> DataFrame:
 
 
 def sample_of(labels: DataFrame, label: str, learn: Column, most: int) -> DataFrame:
-    """At most ``most`` labelled rows (doc_id, label), those whose doc_id hashes lowest; null ids and labels are left out."""
+    """At most ``most`` labelled ids (doc_id, label), those that hash lowest; null ids and labels are left out, and of several labels of an id the highest counts."""
     own = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn)
-    return own.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id").limit(most)
+    each = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    return each.orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id").limit(most)
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """(doc_id, column, label) of the sampled ids ``rows``, one document for each, however often its id comes: the one whose hash is lowest.
+
+    The sample is broadcast, so no other document is shuffled, and documents of one id are combined before they are.
+    """
+    met = docs.select(F.col("doc_id").cast("long"), column).join(F.broadcast(rows), "doc_id")
+    return met.groupBy("doc_id").agg(F.min_by(column, F.xxhash64(column)).alias(column), F.first("label").alias("label"))
 
 
 def fit(features: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int = SAMPLE) -> Boosted:
-    """Trees fitted on the driver over a bounded sample of labelled rows."""
-    rows = features.join(F.broadcast(sample_of(labels, label, learn, sample)), "doc_id").select("doc_id", "x", "label").toArrow()
+    """Trees fitted on the driver over a bounded sample of labelled documents, ``sample`` at most."""
+    rows = one_of_each(features, sample_of(labels, label, learn, sample), "x").toArrow()
     # one order whatever the tasks' order, so that reruns agree
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     x = np.array(rows["x"].to_pylist(), np.float32).reshape(len(order), -1 if len(order) else 1)[order]
@@ -60,7 +70,8 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None, lab
     """(doc_id, score): the probability of label 1 for each document, empty and null texts included.
 
     ``learn`` is a condition over ``labels`` that says which rows may be learned from.  With no such rows, or only one class, every
-    score is the share of label 1.  Repeated documents are scored each; only doc_id and text are read.
+    score is the share of label 1.  Repeated documents are scored each, and one of each id is learned from; only doc_id and text are read, so
+    other columns may be called anything; no documents give no rows.
     """
     features = staged(document_features(docs), "quality")
     return scored(features, fit(features, labels, label, F.lit(True) if learn is None else learn, sample))

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import pieces_of, staged
-from tidemark.llm.quality import sample_of
+from tidemark.llm.quality import one_of_each, sample_of
 
-#: Labelled rows that are learned from at most, and features that can get a weight.
-SAMPLE, FEATURES = 12_000, 2_000
+#: Labelled documents that are learned from at most.
+SAMPLE = 12_000
 #: Words a worker remembers.
 REMEMBERED = 500_000
 
@@ -95,8 +95,9 @@ class NoisyOr:
         return float(-np.expm1(-np.logaddexp(0, np.array(logits)).sum()))
 
 
-def fit(sample: DataFrame, features: int = FEATURES, steps: int = 400) -> NoisyOr:
-    """Fitted on the driver from (doc_id, text, label): what is collected is the list of features and their places in the sample's sentences."""
+def fit(sample: DataFrame, steps: int = 400) -> NoisyOr:
+    """Fitted on the driver from (doc_id, text, label), an id once: what is collected is the list of features that come significantly more often
+    in toxic documents, and their places in the sample's sentences."""
     counts = staged(feature_counts(sample), "toxicity-features")
     n1, n0 = sample.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if not n1 or not n0:
@@ -104,7 +105,7 @@ def fit(sample: DataFrame, features: int = FEATURES, steps: int = 400) -> NoisyO
     share_1, share_0 = (F.col("toxic") + 0.5) / (n1 + 1.0), (F.col("clean") + 0.5) / (n0 + 1.0)
     both = (F.col("toxic") + F.col("clean") + 1.0) / (n1 + n0 + 2.0)
     chi = F.pow(share_1 - share_0, F.lit(2.0)) / (both * (1 - both) * (1.0 / n1 + 1.0 / n0))
-    chosen = counts.filter((F.col("toxic") >= 2) & (share_1 > 3 * share_0)).withColumn("chi", chi).filter("chi > 12").orderBy(F.desc("chi"), "feature").limit(features)
+    chosen = counts.filter((F.col("toxic") >= 2) & (share_1 > 3 * share_0)).withColumn("chi", chi).filter("chi > 12").orderBy(F.desc("chi"), "feature")
     names = [bytes(r["feature"]) for r in chosen.select("feature").collect()]
     index = {f: i for i, f in enumerate(names)}
 
@@ -167,16 +168,15 @@ def scored(docs: DataFrame, model: NoisyOr) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "toxic", sample: int = SAMPLE) -> NoisyOr:
     """The model from at most ``sample`` labelled documents, those whose ids hash lowest; ``learn`` is a condition over ``labels``."""
     rows = sample_of(labels, label, F.lit(True) if learn is None else learn, sample)
-    # at most `sample` rows of an id and a label: broadcast, so that no other text is shuffled
-    own = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "label"), "toxicity-sample")
-    return fit(own)
+    return fit(staged(one_of_each(docs.select("doc_id", F.col("text").cast("string").alias("text")), rows, "text"), "toxicity-sample"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """(doc_id, score, worst) of each document.
 
     Null and empty texts have no sentence and score 0.  Without labelled rows, or with one class only, the score of documents with words is 0
-    (all clean) or 1 (all toxic).  Repeated rows are scored each.
+    (all clean) or 1 (all toxic).  Repeated rows are scored each, and one document of each id is learned from.  Only doc_id and text are read, so
+    other columns may be called anything; no documents give no rows.
     """
     model = train(docs, labels, learn, label, sample)
     return scored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model).select("doc_id", "score", "worst")

@@ -57,7 +57,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_vocabulary())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -66,9 +65,13 @@ ODD = ["", " ", "a\xa0 b", "x  y\n\n z ", "\t\ttabs", "don't  stop\r\n<|endoftex
 
 def test_ids_are_those_of_the_library(library):
     e = tokens.Encoder(tokens.default_vocabulary())
+    rng = random.Random(7)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "word", "é", "日", "12", "'s", "\t", "."]
+    mixed = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(300)]
     for _ in range(2):  # the second time from memory
-        texts = ODD + [r[1] for r in corpus()]
+        texts = [*ODD, *mixed, *(r[1] for r in corpus())]
         assert [np.frombuffer(b, "<u4").tolist() for b in e.ids(texts)] == [library(t) for t in texts]
+    assert 50256 in np.frombuffer(e.ids(["hello <|endoftext|> world"])[0], "<u4")
 
 
 @pytest.mark.parametrize("n, want", [(0, []), (5, [(0, 5)]), (8, [(0, 8)]), (9, [(0, 1), (1, 8)]), (24, [(0, 8), (8, 8), (16, 8)])])
@@ -115,6 +118,19 @@ def test_packing(spark, seed):
     assert packing.pack(df.limit(0), 100).count() == 0
 
 
+def test_sequences_hold_the_ids(docs, library):
+    """Every sequence, put together, is the ids of its parts, and the parts of a document are its ids."""
+    packed = packing.pack(packing.token_pieces(docs, 64), 64)
+    got = defaultdict(dict)
+    for r in packing.sequences(packed).collect():
+        assert r["length"] <= 64 and len(r["ids"]) == 4 * r["length"]
+        assert [p["offset"] for p in r["parts"]] == [sum(q["length"] for q in r["parts"][:k]) for k in range(len(r["parts"]))]
+        for p in r["parts"]:
+            got[p["doc_id"]].setdefault(p["piece"], bytes(r["ids"])[4 * p["offset"] : 4 * (p["offset"] + p["length"])])
+    for i, text, *_ in corpus():
+        assert b"".join(got[i][k] for k in sorted(got[i])) == np.array([*library(text), 0], "<u4").tobytes()
+
+
 def brute_pairs(sizes, capacity):
     """The fewest bins for items above a third, by trying all matchings of small inputs."""
     if not sizes:
@@ -162,6 +178,40 @@ def test_section_tokens(spark, library, rule):
         assert [r[3] for r in own] == count and sum(count) == len(library(text))
 
 
+def test_given_sections(spark, library):
+    """Sections that a column gives cut tokens wherever it likes; empty ones, and empty texts, have none."""
+    rng = random.Random(3)
+    texts = [prose(rng, 30), "é日本 🙂 text", "", None, "abcdef ghij"]
+    starts = [sorted(rng.sample(range(1, len(texts[0])), 9)), [2, 2, 4], [0, 5], None, [9, 3, None, 99]]
+    df = spark.createDataFrame([(i, t, s, "clash") for i, (t, s) in enumerate(zip(texts, starts, strict=True))], "doc_id long, text string, cuts array<int>, section string")
+    rows = attribution.section_tokens(df, "most", starts=F.col("cuts")).collect()
+    table = tokens.encoder(tokens.default_vocabulary()).byte_length
+    for i, (text, cuts) in enumerate(zip(texts, starts, strict=True)):
+        text = text or ""
+        at = sorted(min(c, len(text)) for c in cuts or [] if c is not None)
+        at = at if at and at[0] == 0 else [0, *at]
+        own = sorted((r["section"], r["start"], r["n_chars"], r["n_tokens"]) for r in rows if r["doc_id"] == i)
+        ends = [*at[1:], len(text)]
+        assert [r[:3] for r in own] == [(k, a, b - a) for k, (a, b) in enumerate(zip(at, ends, strict=True))]
+        where = [max(k for k, a in enumerate(at) if a <= j) for j, c in enumerate(text) for _ in c.encode()]
+        count, place = [0] * len(at), 0
+        for n in table[library(text)].tolist():
+            seen = Counter(where[place : place + n])
+            count[min(seen, key=lambda k: (-seen[k], k))] += 1
+            place += n
+        assert [r[3] for r in own] == count and sum(count) == len(library(text))
+
+
+def test_fields(spark, library):
+    df = spark.createDataFrame([(1, "A title", None, "the body\n", "x"), (2, None, None, None, "x")], "doc_id long, title string, summary string, text string, field string")
+    got = {(r["doc_id"], r["field"]): (r["start"], r["n_chars"], r["n_tokens"]) for r in attribution.field_tokens(df, ["title", "summary", "text"]).collect()}
+    assert [got[1, f][:2] for f in ("title", "summary", "text")] == [(0, 8), (8, 1), (9, 9)]
+    assert sum(v[2] for k, v in got.items() if k[0] == 1) == len(library("A title\n\nthe body\n"))
+    assert sum(v[2] for k, v in got.items() if k[0] == 2) == len(library("\n\n"))
+    with pytest.raises(ValueError):
+        attribution.field_tokens(df, [])
+
+
 def test_section_rule_is_checked(docs):
     with pytest.raises(ValueError):
         attribution.section_tokens(docs, "other")
@@ -200,6 +250,78 @@ def test_periodic_text_repeats_itself(spark):
     assert [(r["n_words"], r["n_removed"], r["text"]) for r in got] == brute_substrings(texts, 35)
 
 
+def brute_parse(texts, window):
+    """The greedy parse of each text, word by word: the reference holds every window where it comes first; what comes first is held against the last place."""
+    words = [WORD.findall((t or "").encode()) for t in texts]
+    places = defaultdict(list)
+    for d, w in enumerate(words):
+        for i in range(len(w) - window + 1):
+            places[tuple(w[i : i + window])].append((d, i))
+    out = []
+    for d, w in enumerate(words):
+        own, i, last = [], 0, len(w) - window
+        ref = lambda j: places[tuple(words[d][j : j + window])][-1 if places[tuple(words[d][j : j + window])][0] == (d, j) else 0]  # noqa: B023, E731
+        many = lambda j: j <= last and len(places[tuple(words[d][j : j + window])]) > 1  # noqa: B023, E731
+        while i <= last:
+            if not many(i):
+                i += 1
+                continue
+            begin, (doc, at) = i, ref(i)
+            while many(i + 1) and ref(i + 1) == (doc, at + i + 1 - begin):
+                i += 1
+            own.append((begin, i - begin + window, doc, at))
+            i += 1
+        out.append(own)
+    return out
+
+
+@pytest.mark.parametrize("window, anchor", [(35, 8), (6, 3)])
+def test_factors_are_the_greedy_parse(spark, window, anchor):
+    rng = random.Random(window)
+    shared = [prose(rng, rng.randint(window, 4 * window)) for _ in range(4)]
+    texts = []
+    for i in range(40):
+        words = " ".join([prose(rng, rng.randint(0, 30)), *rng.choices(shared, k=rng.randint(0, 3)), prose(rng, 5)]).split()
+        if len(words) > 20 and i % 3 == 0:
+            words[rng.randrange(len(words))] = "changed"
+        texts.append(" ".join(words))
+    texts += [texts[5], " ".join(texts[6].split()[10:]), "a b c d " * 30, None, ""]
+    got = {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in substrings.without_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), window, anchor).collect()}
+    want = brute_parse(texts, window)
+    assert [got[i] for i in range(len(texts))] == want and sum(map(len, want)) > 40
+    words = [WORD.findall((t or "").encode()) for t in texts]
+    for d, own in enumerate(want):
+        for start, n, doc, at in own:
+            assert (doc, at) != (d, start) and words[d][start : start + n] == words[doc][at : at + n]
+
+
+def thue_morse(n):
+    """Two strings whose polynomial hashes modulo 2**64 agree for any base."""
+    a = b"a"
+    for _ in range(n):
+        a += a.translate(bytes.maketrans(b"ab", b"ba"))
+    return a.decode(), a.translate(bytes.maketrans(b"ab", b"ba")).decode()
+
+
+def test_words_that_hash_badly_stay(spark):
+    a, b = thue_morse(12)
+    around = prose(random.Random(2), 34).split()
+    texts = [" ".join([*around[:17], w, *around[17:]]) for w in (a, b)]
+    got = substrings.without_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
+
+
+def test_rows_that_come_again_are_parsed_once(spark, monkeypatch):
+    """What is gathered for a text does not grow with the number of rows that are equal to it."""
+    text = prose(random.Random(4), 300)
+    docs = spark.createDataFrame([(1, text)] * 300 + [(None, text)] * 300 + [(2, "other " + text)], "doc_id long, text string")
+    keyed = substrings._keyed(docs)
+    found = substrings._parsed(keyed.select("sub_doc", "sub_text", "text"), 35, 8).selectExpr("size(found) as n").collect()
+    assert len(found) == 3 and max(r["n"] for r in found) <= 300
+    got = substrings.without_duplicates(docs).select("n_words", "n_removed", "text").collect()
+    assert Counter(map(tuple, got)) == Counter([(300, 300, "")] * 600 + [(301, 300, "other")])
+
+
 def test_substrings_of_nothing(none):
     assert substrings.without_duplicates(none).count() == 0
 
@@ -250,8 +372,53 @@ def test_mix(spark):
     assert mixing.repeated(mixed).count() == sum(again.values())
 
 
+def brute_param(sizes, target, most=3.0):
+    """The dual's solution for one source, by bisection over sizes in plain arithmetic."""
+    mean = np.mean(sizes)
+    tokens = lambda x: sum(z * min(most, np.exp(min(50.0, x * z / mean))) for z in sizes)
+    low, high = -100.0, 100.0 * max(1.0, mean)
+    for _ in range(300):
+        middle = (low + high) / 2
+        low, high = (middle, high) if tokens(middle) < target else (low, middle)
+    return low
+
+
+def test_dual(spark):
+    rng = random.Random(5)
+    sizes = {"a": [rng.randint(1, 300) for _ in range(300)], "b": [rng.randint(1, 50) for _ in range(40)], "c": [rng.choice([10, 900]) for _ in range(60)], None: [7] * 20}
+    rows = [(s, z) for s, own in sizes.items() for z in own]
+    counted = spark.createDataFrame(rows, "source string, size long").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    targets = mixing.source_targets(counted)
+    for r in mixing.solve(counted, targets).collect():
+        if r["target"] < 3 * r["source_size"] * (1 - 1e-9):
+            own = sizes[r["source"]]
+            want = sum(z * min(3.0, np.exp(brute_param(own, r["target"]) * z / np.mean(own))) for z in own)
+            assert sum(z * min(3.0, np.exp(r["param"] * z / np.mean(own))) for z in own) == pytest.approx(want, rel=1e-3)
+
+
+def test_mix_of_rows_without_own_ids(spark):
+    """Null ids, ids that come again and equal rows are rounded row by row."""
+    rows = [(None, "a", 10)] * 600 + [(7, "b", 10)] * 500 + [(i, "c", 10) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, words long")
+    out = mixing.mix(df, size=F.col("words")).collect()
+    assert len(out) == 1400
+    for s in "abc":
+        own = [r for r in out if r["source"] == s]
+        assert sum(r["copies"] * 10 for r in own) == pytest.approx(own[0]["target"], rel=0.01)
+
+
+def test_many_sources(spark):
+    """Sources whose order is found in ranges, more of them than partitions."""
+    rng = random.Random(6)
+    sizes = {f"s{i:04}": rng.randint(1, 1000) for i in range(500)} | {None: 77}
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(5)
+    got = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
+    assert got == pytest.approx(brute_targets(sizes))
+
+
 def test_mix_of_texts_and_of_nothing(docs, none):
-    assert mixing.mix(docs).count() == docs.count()
+    out = mixing.mix(docs.withColumn("target", F.lit("clash"))).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(r[0] for r in corpus())
     assert mixing.mix(none).count() == 0
 
 
@@ -259,14 +426,13 @@ def test_mix_of_texts_and_of_nothing(docs, none):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_top_k(spark, seed, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATES", 40)
-    monkeypatch.setattr(topk, "QUERIES", 3)
+def test_top_k(spark, seed):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(200, 6)) * rng.exponential(size=(200, 1))
     x[50:120] = x[50]  # ties
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (350, [1.0, None]), (400, [1.0, float("nan")]), (450, [float("inf")]), (None, [1.0] * 6)]
-    got = topk.top_k(topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), F.col("vec_id") % 50 == 0, 5).collect()
+    vectors = topk.quantised(spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<double>, score string"))
+    got = topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5, block_bytes=(32 << 20, 100, 48, 8)[seed]).collect()
     q = np.floor(x * 256)
     want = []
     for i in range(0, 200, 50):
@@ -275,6 +441,29 @@ def test_top_k(spark, seed, monkeypatch):
     assert sorted(map(tuple, got)) == want
 
 
+def test_short_candidates_are_not_read(spark):
+    """Queries whose floors only long candidates can reach meet no others."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 8))
+    x[:600] *= 1000
+    rows = [(i, np.floor(v * 256).tolist()) for i, v in enumerate(x)]
+    seen = []
+    held = topk._found
+
+    def found(held_, block, *rest):
+        seen.append((len(block), float(block["reach"].min())))
+        return held(held_, block, *rest)
+
+    topk._found = found
+    try:
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id long, v array<double>"), F.col("vec_id") < 40, 5).collect()
+    finally:
+        topk._found = held
+    assert len(got) == 200 and seen[0][0] == 40 and seen[0][1] > np.sqrt((np.floor(x[600:] * 256) ** 2).sum(1)).max()
+    q = np.floor(x * 256)
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in got if r["rank"] == 1} == {(i, 1): max((j for j in range(3000) if j != i), key=lambda j: (int(q[i] @ q[j]), -j)) for i in range(40)}
+
+
 def test_top_k_of_few(spark):
     two = topk.quantised(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>"))
     assert [tuple(r) for r in topk.top_k(two, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 128)]
@@ -287,7 +476,7 @@ def test_top_k_of_few(spark):
 @pytest.mark.parametrize("n", [0, 5, 16, 1003])
 def test_shards(spark, n):
     df = spark.createDataFrame([(i if i % 3 else 7, "x") for i in range(n)], "doc_id long, slot string").repartition(3)
-    out = sharding.sharded(df, 16, bucket_rows=50).collect()
+    out = sharding.sharded(df, 16, bucket_bytes=50).collect()
     assert Counter(r["doc_id"] for r in out) == Counter(i if i % 3 else 7 for i in range(n))
     slots = defaultdict(list)
     for r in out:
@@ -296,13 +485,29 @@ def test_shards(spark, n):
     assert n < 16 or max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def test_shards_of_whole_records(spark, tmp_path, docs, none):
+    """Nulls, empty and very long texts, equal rows and nested columns come through as they are; buckets follow bytes."""
+    rows = [*corpus(), (500, "y" * 3_000_000, "en", "a", 1)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("more", F.struct(F.array(F.lit(1)), F.lit(None).cast("int")))
+    sharding.write_shards(df, str(tmp_path / "whole"), 4, bucket_bytes=10_000)
+    out = spark.read.parquet(str(tmp_path / "whole")).collect()
+    assert Counter((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in out) == Counter(rows)
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(slots) == [0, 1, 2, 3] and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    sharding.write_shards(none, str(tmp_path / "none"), 4)
+    assert sharding.sharded(none.withColumn("place", F.lit(1)), 4).count() == 0
+    assert sharding._scattered(df, 1, 10_000)[2] > 250
+
+
 def test_shards_are_shuffled_and_written(spark, tmp_path):
     df = spark.range(2000).toDF("doc_id").withColumn("text", F.concat(F.lit("t"), "doc_id"))
-    first = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.sharded(df, 4, bucket_rows=100).collect()}
-    assert first == {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.sharded(df, 4, bucket_rows=100).collect()}
+    first = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.sharded(df, 4, bucket_bytes=100).collect()}
+    assert first == {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.sharded(df, 4, bucket_bytes=100).collect()}
     order = [i for i, _ in sorted(first.items(), key=lambda kv: kv[1])]
     assert abs(np.corrcoef(order, range(2000))[0, 1]) < 0.1
-    sharding.write_shards(df, str(tmp_path / "out"), 4, bucket_rows=100)
+    sharding.write_shards(df, str(tmp_path / "out"), 4, bucket_bytes=100)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {r["doc_id"]: (r["shard"], r["slot"], r["text"]) for r in got.collect()} == {i: (*s, f"t{i}") for i, s in first.items()}
 
@@ -579,6 +784,26 @@ def test_links_connect_what_is_near(spark, tree):
         simhash.links(nodes, 4)
 
 
+def test_a_hot_shard_is_split(spark):
+    """Fingerprints that agree on two blocks and on much more: no group of the search grows with them."""
+    rng = random.Random(2)
+    base = rng.getrandbits(64)
+    fps = {base ^ sum(1 << b for b in rng.sample(range(26, 64), rng.randint(0, 12))) for _ in range(6000)}
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    edges = simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), 3, 256)
+    root = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    value = np.array(sorted(fps), np.uint64)
+    label = np.arange(len(value))
+    for a in range(0, len(value), 500):
+        i, j = np.nonzero(np.bitwise_count(value[a : a + 500, None] ^ value[None, :]) <= 3)
+        label = simhash._join(label, i + a, j)
+    want, got = defaultdict(set), defaultdict(set)
+    for x, r in zip(value.tolist(), label.tolist(), strict=True):
+        want[r].add(x)
+        got[root.get(signed(x), signed(x))].add(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_long_chains(spark):
     n = 300
     order = list(range(n))
@@ -601,6 +826,90 @@ def test_near_duplicates(spark, docs, none):
 # the queries
 
 
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """All tables that the queries read, with an extra column or two of names that operators use, and the same without rows."""
+    path, rng = tmp_path_factory.mktemp("tables"), np.random.default_rng(1)
+    rows, labels = labelled(random.Random(3), 200)
+    docs = spark.createDataFrame([*corpus(), *((r[0] + 1000, *r[1:]) for r in rows)], DOCS)
+    docs = docs.select("*", *(F.lit("clash").alias(c) for c in ("size", "score", "n_words", "piece", "section", "fp", "copies", "found", "kept", "x", "shard", "bucket", "row")))
+    given = spark.createDataFrame([(i + 1000, q, t, "clash") for i, q, t in labels], "doc_id long, quality int, toxic int, text string")
+    vectors = spark.createDataFrame([(i, x.tolist(), "clash") for i, x in enumerate(rng.normal(size=(160, 5)))] + [(7, None, "clash"), (None, [1.0] * 5, "clash")], "vec_id long, embedding array<double>, v string")
+    for name, df in (("documents", docs), ("labels", given), ("embeddings", vectors)):
+        df.repartition(2).write.parquet(str(path / "full" / f"{name}.parquet"))
+        df.limit(0).write.parquet(str(path / "none" / f"{name}.parquet"))
+    return path
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_query(spark, folder, name):
+    """Each query over tables with clashing names gives the columns of its contract and whole results, over empty tables none."""
+    contract = {
+        "op1_pack": "doc_id piece start length ids_crc32 sequence_id offset",
+        "op2_substrings": "doc_id n_words n_removed kept_sha256",
+        "op3_mix": "doc_id size source_size target taken",
+        "op4_topk": "query_id rank vec_id score",
+        "op5_shards": "doc_id size text_crc32 law shard slot grown_shard",
+        "op6_perplexity": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+        "op7_quality": "doc_id held_out score predicted",
+        "op8_toxicity": "doc_id held_out score predicted",
+        "op9_simhash": "doc_id fingerprint component_id",
+        "op10_tokens": "doc_id section start n_chars n_tokens n_crossing",
+    }[name].split()
+    df = queries.queries()[name](spark, str(folder / "full"))
+    assert df.columns[: len(contract)] == contract
+    n = df.count()
+    ids = {r["doc_id"] for r in spark.read.parquet(str(folder / "full" / "documents.parquet")).select("doc_id").collect()}
+    if name == "op4_topk":
+        assert n == 4 * 5
+    elif name in ("op1_pack", "op10_tokens"):
+        assert {r["doc_id"] for r in df.select("doc_id").collect()} == ids
+    else:
+        assert n == len(corpus()) + 200 and {r["doc_id"] for r in df.select("doc_id").collect()} == ids
+    empty = queries.queries()[name](spark, str(folder / "none"))
+    assert empty.columns == df.columns and empty.count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_against_sql(spark, folder, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/full/{t}.parquet/*.parquet'")
+    df = queries.queries()[name](spark, str(folder / "full"))
+    cols = sorted(df.columns)
+    want = con.sql(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert Counter(map(str, ((tuple(r[c] for c in cols)) for r in df.collect()))) == Counter(map(str, want))
+
+
+def test_pack_query(spark, folder, library):
+    """Pieces and crc32 by the library, and sequences without gaps or overlaps, near the fewest there can be."""
+    rows = queries.op1_pack(spark, str(folder / "full")).collect()
+    want = Counter()
+    for r in spark.read.parquet(str(folder / "full" / "documents.parquet")).select("doc_id", "text").collect():
+        ids = [*library(r["text"]), 0]
+        want.update((r["doc_id"], k, a, n, zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes())) for k, (a, n) in enumerate(packing.cut(len(ids), 2048)))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in bins.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in itertools.pairwise(own)) and sum(own[-1]) <= 2048
+    assert len(bins) <= least_bins([r["length"] for r in rows], 2048) + 1
+
+
+def test_samples_are_bounded(spark):
+    """A labelled id that comes often is one document of the sample, and labels that come again one label."""
+    rows, labels = labelled(random.Random(4), 60)
+    df = spark.createDataFrame([*rows, *[rows[0]] * 3000, *[(1, None, "en", "a", 1)] * 5], DOCS)
+    lab = spark.createDataFrame([*labels, *[labels[0]] * 50], "doc_id long, quality int, toxic int")
+    met = quality.one_of_each(df, quality.sample_of(lab, "toxic", F.lit(True), 1000), "text").collect()
+    assert sorted(r["doc_id"] for r in met) == list(range(60)) and len(quality.sample_of(lab, "toxic", F.lit(True), 7).collect()) == 7
+    assert toxicity.toxicity(df, lab).count() == 3065 and quality.quality(df, lab).count() == 3065
+
+
 def test_query_digests(spark, tmp_path):
     spark.createDataFrame(corpus(), DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     cut = {r["doc_id"]: r for r in queries.op2_substrings(spark, str(tmp_path)).collect()}
@@ -613,3 +922,4 @@ def test_query_digests(spark, tmp_path):
     mix = queries.op3_mix(spark, str(tmp_path)).collect()
     assert Counter((r["doc_id"], r["size"]) for r in mix) == Counter((r[0], len(WORD.findall((r[1] or "").encode()))) for r in corpus())
     assert all(r["taken"] <= 3 * r["size"] for r in mix)
+    assert Counter(map(str, queries.op3_mix(spark, str(tmp_path)).collect())) == Counter(map(str, mix))

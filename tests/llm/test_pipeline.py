@@ -75,7 +75,7 @@ def test_stages(spark, folder, tmp_path):
 
 def test_run(spark, folder):
     path, *_ = folder
-    assert corpus_pipeline.run(spark, path).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert corpus_pipeline.run(spark, path).columns == ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
 
 
 def test_one_row_of_a_group_stays(spark, folder):

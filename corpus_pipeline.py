@@ -1,12 +1,13 @@
 """Corpus pipeline: from the documents table to packed training sequences.
 
 Five stages, each of which calls one operator on all that the stage before it kept.  A stage's result is written as Parquet
-and read again as the next one's documents.  All but the last return the columns of documents.
+and read again as the next one's documents.  All but the last return the columns of documents, others that the table has besides among them,
+whatever their names.  Null texts count as empty, null ids and sources are ids and sources like any others, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, nearcopies, packing, substrings, toxicity
@@ -16,10 +17,22 @@ from tidemark.llm.common import staged, table
 TOXIC = 0.3
 
 
+def _narrow(docs: DataFrame, *own: str) -> DataFrame:
+    """``docs`` as the columns ``own`` that an operator reads, and all others in one struct, so that none has a name that an operator uses."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, (F.struct(*rest) if rest else F.lit(True)).alias("pipeline_rest"))
+
+
+def _wide(narrow: DataFrame, like: DataFrame, own: dict[str, Column]) -> DataFrame:
+    """The columns of ``like`` from ``_narrow``, those in ``own`` by their expressions."""
+    return narrow.select(*(own[c].alias(c) if c in own else F.col("pipeline_rest").getField(c).alias(c) for c in like.columns))
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learned from the labels table, scores below TOXIC."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).filter(F.col("score") < TOXIC).select(docs.columns)
+    kept = toxicity.scored(_narrow(docs, "text"), model).filter(F.col("score") < TOXIC)
+    return _wide(kept, docs, {"text": F.col("text")})
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,32 +40,36 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Components are of texts, named by 64-bit hashes, so rows without id and rows that come again are in them like all others.
     """
-    own = {"near_text": F.xxhash64(F.col("text").cast("string")), "near_none": F.col("doc_id").isNull(), "near_id": F.coalesce(F.col("doc_id"), F.lit(0))}
-    marked, keys = docs.withColumns(own), ["near_none", "near_id", "near_text"]
+    keys = ["near_none", "near_id", "near_text"]
+    marks = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id"), F.lit(0)), F.xxhash64(F.col("text").cast("string"))]
+    marked = docs.select(*(m.alias(k) for m, k in zip(marks, keys, strict=True)), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     of_text = staged(nearcopies.grouped(docs).select(F.col("node").alias("near_text"), "component"), "near-components")
     rows = staged(marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("near_rows")), "near-rows")
     first = rows.join(of_text, "near_text").groupBy("component").agg(F.min(F.struct(*keys, "near_rows")).alias("first"))
     first = staged(first.select("first.*"), "near-first")
-    single = marked.join(first.filter("near_rows = 1"), keys, "left_semi").select(docs.columns)
+    single = marked.join(first.filter("near_rows = 1"), keys, "left_semi").select("row")
     # rows that come again are combined before they are shuffled
-    again = marked.join(first.filter("near_rows > 1"), keys, "left_semi").groupBy(*keys).agg(F.first(F.struct(*docs.columns)).alias("row"))
-    return single.unionByName(again.select("row.*"))
+    again = marked.join(first.filter("near_rows > 1"), keys, "left_semi").groupBy(*keys).agg(F.first("row").alias("row"))
+    return single.unionByName(again.select("row")).select("row.*")
 
 
 def cut_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 35 words or more that come again; n_chars follows the text."""
-    cut = substrings.without_duplicates(docs)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    cut = substrings.without_duplicates(_narrow(docs, "doc_id", "text"))
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return _wide(cut, docs, own)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.repeated(mixing.mix(docs)).select(docs.columns)
+    """Each document as often as the mix takes it.  No two documents have one text by now, so the text tells rows of one id apart."""
+    own = ("doc_id", "text", "source")
+    mixed = mixing.mix(_narrow(docs, *own), row=F.xxhash64(F.col("text")))
+    return _wide(mixing.repeated(mixed), docs, {c: F.col(c) for c in own})
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in sequences of 2048 tokens."""
-    return packing.pack(staged(packing.token_pieces(docs, 2048, payload="crc32"), "pieces"), 2048)
+    """The pieces of each document with their ids, and where each lies in a sequence of 2048 tokens."""
+    return packing.pack(packing.token_pieces(docs, 2048), 2048)
 
 
 STAGES = [

@@ -73,9 +73,13 @@ def source_targets(sizes: DataFrame, most: float = 3.0, weights: tuple[float, ..
     return both.select("source", "source_size", "n_docs", (F.col("source_size") / F.col("n_docs")).alias("mean_size"), target.alias("target"))
 
 
+def _log_rate(param: Column) -> Column:
+    """Before the ceiling.  Rates grow or shrink with the size; an empty document keeps rate 1."""
+    return param * F.col("size") / F.greatest("mean_size", F.lit(1e-9))
+
+
 def _rate(most: float, param: Column) -> Column:
-    """Rates grow or shrink with the size; an empty document keeps rate 1."""
-    return F.exp(F.least(F.log(F.lit(most)), param * F.col("size") / F.greatest("mean_size", F.lit(1e-9))))
+    return F.exp(F.least(F.log(F.lit(most)), _log_rate(param)))
 
 
 def _to_params(docs: DataFrame, params: DataFrame) -> DataFrame:
@@ -91,7 +95,7 @@ def _carried(names: list[str]) -> list[Column]:
 def _newton(sizes: DataFrame, params: DataFrame, known: list[str], most: float) -> DataFrame:
     """One step: (source, known, param, low, high, off), ``off`` being how far the old parameter was from its target."""
     rate, tokens = _rate(most, F.col("param")), F.col("n") * F.col("size")
-    slope = F.when(rate < most, rate * tokens * F.col("size") / F.greatest("mean_size", F.lit(1e-9))).otherwise(0.0)
+    slope = F.when(_log_rate(F.col("param")) < F.log(F.lit(most)), rate * tokens * F.col("size") / F.greatest("mean_size", F.lit(1e-9))).otherwise(0.0)
     sums = _to_params(sizes, params.drop("off")).groupBy("source").agg(F.sum(rate * tokens).alias("got"), F.sum(slope).alias("slope"), *_carried([*known, "param", "low", "high"]))
     over = F.col("got") - F.col("target")
     both = sums.withColumn("low", F.when(over < 0, F.col("param")).otherwise(F.col("low"))).withColumn("high", F.when(over > 0, F.col("param")).otherwise(F.col("high")))

@@ -5,10 +5,10 @@ blocks of bits.  So a text's shards come from the shingles themselves: 20 keys,
 1 - (1 - s**5)**20: 99.96% at 0.8, 99.9999% at 0.9.  A shard is a BK-tree, searched within RADIUS bits, which a pair of 0.8 exceeds once in
 some hundred thousand times.  Different texts are nodes.
 
-Of a small shard all pairs within the radius are confirmed or not.  A large one (a text copied thousands of times with small changes) would have
-too many: its members are first held against one pivot, those that it does not link against eight more.  Then components are known, and what is
-left of the shard, its members outside its largest component, is held against all members of other components.  So whatever pairs are
-skipped lie within one component already, and no link between components is lost.
+Of a small shard all pairs within the radius are confirmed or not.  Large ones (a text copied thousands of times with small changes) overlap, since
+such texts share most of their keys: large shards that have a node in common are one family, and a family is searched once.  Its shingle sets go to the
+task with its tree, and only links that span what is connected come out, never all pairs.  A family that is too large for a task is cut into parts by
+nodes and bytes, and each two parts meet in a task of their own, so no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces_of, staged
@@ -28,8 +28,8 @@ from tidemark.llm.substrings import Words, _mixed
 KEYS, ROWS = 20, 5
 #: Bits in which fingerprints of a proposed pair may differ.
 RADIUS = 24
-#: Nodes of a shard whose pairs are all looked at, and pivots of larger ones.
-SMALL, PIVOTS = 16, (1, 8)
+#: Nodes of a shard whose pairs are all looked at; nodes and bytes of shingles of a part of a family.
+SMALL, PART, PART_BYTES = 16, 4_096, 16 << 20
 
 _SEEDED = np.random.default_rng(31)
 _SALT, _ODD = (_SEEDED.integers(0, 1 << 63, KEYS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -92,11 +92,6 @@ def _of_trees(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
     return out.drop_duplicates()
 
 
-def _off(a: str, b: str) -> Column:
-    """Bits in which two fingerprints differ."""
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (a, b) with a similarity of ``least`` or more; two texts without words are equal."""
     first = pairs.join(sets.toDF("a", "of_a"), "a")
@@ -105,8 +100,87 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return staged(first.join(sets.toDF("b", "of_b"), "b").filter((either == 0) | (both >= F.lit(least) * either)).select("a", "b"), "near-links")
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    return staged(df.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "near-pairs")
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each set a row of bits, one bit a shingle (or several); there are 16 bits to each shingle of a set of middle size."""
+    sizes = [len(x) for x in sets]
+    words = 1 << max(3, int(np.median(sizes) * 16 / 64).bit_length())
+    out = np.zeros((len(sets), words), np.uint64)
+    if sum(sizes):
+        at = _mixed(np.concatenate(sets).view(np.uint64)) % np.uint64(64 * words)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        np.bitwise_or.at(out, (row, (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def spanning(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], in_tree: np.ndarray, least: float, radius: int) -> list[tuple[int, int]]:
+    """Links (a, b) that connect what all links of ``least`` or more between the tree's nodes and all connect; ``sets`` are sorted and without repeats.
+
+    A pair is looked at only while it is not connected.  Bits of one sketch that the other lacks are shingles that the other lacks, which bounds the similarity
+    from above; what the bound lets through is compared exactly.
+    """
+    order = np.argsort(~in_tree, kind="stable")
+    node, fp, sets = node[order], fp[order], [sets[i] for i in order]
+    n = int(in_tree.sum())
+    forest = Forest(np.zeros(n, np.int64), fp[:n])
+    size, sketch, found = np.array([len(x) for x in sets], np.int64), _sketches(sets), []
+    root = list(range(len(node)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a in range(0, len(node), 64):
+        asks = np.arange(a, min(a + 64, len(node)))
+        i, j = forest.search(fp[asks], np.full(len(asks), forest.root[0], np.int64), radius)
+        i = asks[i]
+        label = np.array([top(x) for x in range(len(node))])
+        keep = (label[i] != label[j]) & ((j < i) | ~(i < n))
+        i, j = i[keep], j[keep]
+        # |a and b| >= least * |a or b| holds if and only if |a and b| * (1 + least) >= least * (|a| + |b|)
+        both = np.minimum(size[i], size[j]) * (1 + least) >= least * (size[i] + size[j]) - 1e-9
+        i, j = i[both], j[both]
+        for b in range(0, len(i), 4096):
+            x, y = i[b : b + 4096], j[b : b + 4096]
+            lacks = np.bitwise_count(sketch[x] & ~sketch[y]).sum(1, dtype=np.int64), np.bitwise_count(sketch[y] & ~sketch[x]).sum(1, dtype=np.int64)
+            most = np.minimum(size[x] - lacks[0], size[y] - lacks[1])
+            may = most * (1 + least) >= least * (size[x] + size[y]) - 1e-9
+            x, y, most = x[may], y[may], most[may]
+            for k in np.argsort(-most, kind="stable").tolist():
+                one, other = int(x[k]), int(y[k])
+                if (r := top(one)) == (s := top(other)):
+                    continue
+                common = len(np.intersect1d(sets[one], sets[other], assume_unique=True))
+                either = len(sets[one]) + len(sets[other]) - common
+                if not either or common >= least * either:
+                    root[max(r, s)] = min(r, s)
+                    found.append((int(node[one]), int(node[other])))
+    return found
+
+
+def _families(large: DataFrame, sets: DataFrame, least: float, radius: int) -> DataFrame:
+    """Links that span what is connected in large shards, from their (node, fp, lowest), ``lowest`` being a shard's lowest node."""
+    roots = components(large.select(F.col("node").alias("a"), F.col("lowest").alias("b")))
+    members = large.select("node", "fp").distinct().join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    held = staged(members.select("node", "fp", F.coalesce("root", "node").alias("family")).join(sets, "node"), "near-families")
+    sizes = held.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum(8 * F.size("shingles")) / PART_BYTES)).cast("int").alias("parts"))
+    own = held.join(staged(sizes, "near-parts"), "family").withColumn("part", F.pmod(F.xxhash64(F.lit(13), "node"), F.col("parts")).cast("int"))
+    # a part meets itself and every other: the lower of two is the tree
+    met = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = met.select("family", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), (F.col("part") <= F.col("with")).alias("in_tree"), "node", "fp", "shingles")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        column = lambda c: rows[c].chunk(0).to_numpy(zero_copy_only=False)
+        lists = rows["shingles"].chunk(0)
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+        # ordered as unsigned numbers, but any one order will do
+        sets_ = [np.sort(x) for x in np.split(lists.flatten().to_numpy(zero_copy_only=False), ends)]
+        links_ = spanning(column("node"), column("fp").view(np.uint64), sets_, column("in_tree").astype(bool), least, radius)
+        return pa.table({"a": pa.array([x for x, _ in links_], pa.int64()), "b": pa.array([x for _, x in links_], pa.int64())})
+
+    return staged(sent.groupBy("family", "low", "high").applyInArrow(run, "a long, b long"), "near-spanning")
 
 
 def links(texts: DataFrame, width: int = 5, least: float = 0.8, small: int = SMALL, radius: int = RADIUS) -> DataFrame:
@@ -116,40 +190,13 @@ def links(texts: DataFrame, width: int = 5, least: float = 0.8, small: int = SMA
     """
     routed = staged(_routed(texts, width), "near-routed")
     keyed = routed.select("node", "fp", F.posexplode("keys").alias("key", "value")).select("node", "fp", F.xxhash64("key", "value").alias("key"))
-    sizes = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("key", "node")).alias("lowest")).filter("m > 1"), "near-sizes")
+    sizes = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lowest")).filter("m > 1"), "near-sizes")
     shared = staged(keyed.join(sizes, "key"), "near-shared")
     sets = staged(_sets(texts.join(shared.select("node").distinct(), "node", "left_semi"), width), "near-sets")
     few, large = shared.filter(F.col("m") <= small), shared.filter(F.col("m") > small)
     groups = few.count() // GROUP_NODES + 1
     trees = few.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group").applyInPandas(lambda pdf: _of_trees(pdf, radius), "a long, b long")
-    found = _confirmed(staged(trees.distinct(), "near-pairs"), sets, least)
-    rest = large
-    for pivots in PIVOTS:
-        # the lowest hash of a shard is a pivot of the first round, and about `pivots` others are by a hash of the round
-        chosen = (F.xxhash64("key", "node") == F.col("lowest")) if pivots == 1 else F.pmod(F.xxhash64(F.lit(pivots), "key", "node"), F.ceil(F.col("m") / pivots)) == 0
-        to = large.filter(chosen).select("key", F.col("node").alias("other"), F.col("fp").alias("other_fp"))
-        met = staged(rest.join(to, "key").filter((F.col("node") != F.col("other")) & (_off("fp", "other_fp") <= radius)).select("key", "node", "other"), "near-met")
-        near = _confirmed(_pairs(met), sets, least)
-        found = found.unionByName(near)
-        linked = met.withColumns({"a": F.least("node", "other"), "b": F.greatest("node", "other")}).join(near, ["a", "b"], "left_semi")
-        rest = staged(rest.join(linked.select("key", "node").distinct(), ["key", "node"], "left_anti").select(*large.columns), "near-rest")
-    found = staged(found.distinct(), "near-found")
-    return found.unionByName(_between_components(large, found, sets, least, radius))
-
-
-def _between_components(large: DataFrame, found: DataFrame, sets: DataFrame, least: float, radius: int) -> DataFrame:
-    """Links between members of different components of a large shard; all members but those of its largest component are held against all."""
-    roots = components(found)
-    of = large.select("key", "node", "fp").join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
-    of = staged(of.select("key", "node", "fp", F.coalesce("root", "node").alias("component")), "near-labelled")
-    counts = of.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    several = counts.groupBy("key").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component"))["component"].alias("largest")).filter("components > 1")
-    several = staged(several.select("key", "largest"), "near-several")
-    inside = staged(of.join(several, "key"), "near-several-members")
-    minor = inside.filter(F.col("component") != F.col("largest")).select("key", "node", "fp", "component")
-    others = inside.select("key", F.col("node").alias("other"), F.col("fp").alias("other_fp"), F.col("component").alias("other_component"))
-    cross = minor.join(others, "key").filter((F.col("component") != F.col("other_component")) & (_off("fp", "other_fp") <= radius))
-    return _confirmed(_pairs(cross), sets, least)
+    return _confirmed(staged(trees.distinct(), "near-pairs"), sets, least).unionByName(_families(large, sets, least, radius))
 
 
 def grouped(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:

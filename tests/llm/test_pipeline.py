@@ -111,6 +111,57 @@ def test_near_copies_of_five_word_shingles(spark, small):
     assert {tuple(r) for r in got} == set(near)
 
 
+def test_families_are_searched_in_parts(spark, monkeypatch):
+    """Copies of copies, so that most pairs are not similar: connected exactly as all pairs connect them, wherever the family is cut."""
+    monkeypatch.setattr(nearcopies, "PART", 20)
+    rng = random.Random(14)
+    texts = [prose(rng, 120).split()]
+    for _ in range(119):
+        words = list(rng.choice(texts))
+        for at in rng.sample(range(len(words)), rng.choice([1, 2, 3, 6])):
+            words[at] = prose(rng, 1)
+        texts.append(words)
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in texts]
+    root = list(range(120))
+    for a in range(120):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    edges = nearcopies.links(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "node long, text string")).collect()
+    got = list(range(120))
+    for a, b in edges:
+        assert len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        got = [min(got[a], got[b]) if r in (got[a], got[b]) else r for r in got]
+    assert got == root and 1 < len(set(root)) < 100 and len(edges) < 120 * 12
+
+
+EXTRA = ("size", "target", "rate", "score", "n_words", "factors", "copies", "found", "row", "component", "near_id", "pipeline_rest", "a.b")
+
+
+def test_columns_of_any_name_come_through(spark, folder):
+    """Columns named like those that operators use, ids that come again and null ids: each stage returns what it kept, as it was."""
+    path, *_ = folder
+    rng = random.Random(15)
+    rows = [(rng.choice([1, 2, 3, None]), prose(rng, 80), "en", rng.choice(["a", "b", None]), 1) for _ in range(60)] + [(None, None, None, None, None)] * 3
+    docs = spark.createDataFrame([(*r, *(f"{c} {i}" for c in EXTRA)) for i, r in enumerate(rows)], DOCS + "".join(f", `{c}` string" for c in EXTRA))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = Counter(tuple(r[5:]) for r in docs.collect())
+        out = corpus_pipeline.staged(stage(spark, docs, path), f"test-{name}")
+        assert out.dtypes == docs.dtypes
+        after = Counter(tuple(r[5:]) for r in out.collect())
+        assert set(after) <= set(before) and (name == "mixing" or after == before or name == "near_dedup" and len(before) - len(after) == 2)
+        docs = out
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, path)
+    assert packed.count() >= docs.count() > 0 and packed.filter("length * 4 <> length(ids)").count() == 0
+
+
+def test_no_documents(spark, folder, tmp_path):
+    path, *_ = folder
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_near_copies_go(spark, folder):
     path, *_ = folder
     rng = random.Random(13)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,7 +173,7 @@ def _parsed(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
     different = staged(shared.groupBy("mini", "piece").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")), "substrings-different")
     mixed = staged(different.groupBy("mini").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("mini"), "substrings-mixed")
     alone = different.join(mixed, "mini", "left_anti").filter("copies > 1")
-    whole = alone.select("mini", "piece", F.array(F.struct(F.lit(0).alias("at"), "n", "first", "last")).alias("parts"))
+    whole = alone.select("mini", "piece", F.array(F.struct(F.lit(0).alias("at"), "n", "first", F.struct("last.doc", "last.start").alias("last"))).alias("parts"))
     entry = F.struct(F.col("first.start").alias("start"), "n", "mini", "piece", "copies", F.col("last.doc").alias("last_doc"), F.col("last.text").alias("last_text"), F.col("last.start").alias("last_start"))
     listed = different.join(mixed, "mini").groupBy(F.col("first.doc").alias("sub_doc"), F.col("first.text").alias("sub_text")).agg(F.collect_list(entry).alias("listed"))
     # rows equal in id and text are one
@@ -182,8 +182,14 @@ def _parsed(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
     index = windows.groupBy("mini", "hash").agg(F.sum("copies").alias("c"), F.min("first").alias("first"), F.max("last").alias("last")).filter("c > 1").drop("c")
     index = staged(index, "substrings-index")
     looked = windows.select("mini", "piece", "at", "hash").join(index, ["mini", "hash"])
-    # a piece has at most window - anchor + 1 windows
-    cut = looked.groupBy("mini", "piece").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), "first", "last")).alias("parts"))
+    # a piece has at most window - anchor + 1 windows; those whose places go on side by side are one part
+    along = Window.partitionBy("mini", "piece").orderBy("at")
+    goes_on = F.lit(True)
+    for c, step in (("at", 1), ("first.doc", 0), ("first.text", 0), ("first.start", 1), ("last.doc", 0), ("last.text", 0), ("last.start", 1)):
+        goes_on = goes_on & (F.lag(c).over(along) + step == F.col(c))
+    runs = looked.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(along))
+    runs = runs.groupBy("mini", "piece", "run").agg(F.min("at").alias("at"), F.count(F.lit(1)).cast("int").alias("n"), F.min("first").alias("first"), F.min("last").alias("last"))
+    cut = runs.groupBy("mini", "piece").agg(F.collect_list(F.struct("at", "n", "first", F.struct("last.doc", "last.start").alias("last"))).alias("parts"))
     parts = staged(whole.unionByName(cut), "substrings-parts")
     return shared.join(parts, ["mini", "piece"]).groupBy("sub_doc", "sub_text").agg(F.collect_set(F.struct("start", "parts")).alias("found"))
 
@@ -225,7 +231,7 @@ def without_duplicates(docs: DataFrame, window: int = WINDOW, anchor: int = ANCH
         each = parts.flatten()
         number = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
         get = lambda *path: number(pc.struct_field(each, list(path)))
-        return row, {"start": number(pc.struct_field(inner, 0))[parent] + get(0), "n": get(1), "f_doc": get(2, 0), "f_text": get(2, 1), "f_start": get(2, 2), "l_doc": get(3, 0), "l_start": get(3, 2)}
+        return row, {"start": number(pc.struct_field(inner, 0))[parent] + get(0), "n": get(1), "f_doc": get(2, 0), "f_text": get(2, 1), "f_start": get(2, 2), "l_doc": get(3, 0), "l_start": get(3, 1)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):

@@ -28,7 +28,7 @@ def near(a, b):
 def test_against_sql(spark, db, name):
     df = queries.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
-    keys = [c for c in ("series_id", "fold", "t", "h", "term", "metric", "name") if c in cols]
+    keys = [c for c in ("series_id", "fold", "t", "h", "term", "metric", "name", "query_idx", "key_idx") if c in cols]
     order = lambda rows: sorted(rows, key=lambda r: tuple(str(r[cols.index(k)]).zfill(12) for k in keys))
     got = order([tuple(r[c] for c in cols) for r in df.collect()])
     rel = db.sql(queries.SQL[name])

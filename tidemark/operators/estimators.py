@@ -8,11 +8,14 @@ and removing a few rows, so a rolling validation costs about as much as one fit,
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.features import by_time, whole
 
@@ -38,26 +41,61 @@ def gram(rows: DataFrame, x: list[str], y: str, keys: tuple[str, ...] = ("series
 
 
 def solve_gram(sums: DataFrame, k: int, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """(keys, coef): intercept and k slopes from ``gram``, by elimination on the centred products; one projection for each pivot.
+    """(keys, coef): intercept and k slopes from ``gram``, by least squares on the centred and scaled products; one row a key, so little goes to Python.
 
     Null where the design is not of full rank.
     """
-    centred = {f"a_{i}_{j}": F.col(f"s_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n") for i in range(k + 1) for j in range(i, k + 1)}
-    keep = [*keys, "n", *[f"s_{i}" for i in range(k + 1)]]
-    df = sums.select(*keep, *[c.alias(n) for n, c in centred.items()])
-    for p in range(k):
-        pivot = F.when(F.abs(F.col(f"a_{p}_{p}")) > 1e-12, F.col(f"a_{p}_{p}"))
-        df = df.withColumns({f"a_{i}_{j}": F.col(f"a_{i}_{j}") - F.col(f"a_{p}_{i}") * F.col(f"a_{p}_{j}") / pivot for i in range(p + 1, k + 1) for j in range(i, k + 1)})
-    beta: dict[str, Column] = {}
-    for p in reversed(range(k)):
-        rest = F.col(f"a_{p}_{k}")
-        for j in range(p + 1, k):
-            rest = rest - F.col(f"a_{p}_{j}") * F.col(f"b_{j}")
-        df = df.withColumn(f"b_{p}", rest / F.col(f"a_{p}_{p}"))
-    const = F.col(f"s_{k}") / F.col("n")
-    for p in range(k):
-        const = const - F.col(f"b_{p}") * F.col(f"s_{p}") / F.col("n")
-    return df.select(*keys, F.array(const, *[F.col(f"b_{p}") for p in range(k)]).alias("coef"))
+    pairs = list(itertools.combinations_with_replacement(range(k + 1), 2))
+    schema = T.StructType([*(sums.schema[c] for c in keys), T.StructField("coef", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.schema.names if c not in keys}
+            coef = [centred_solution(columns["n"][r], np.array([columns[f"s_{i}"][r] for i in range(k + 1)]), {(i, j): columns[f"s_{i}_{j}"][r] for i, j in pairs}) for r in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(coef, pa.list_(pa.float64()))], [*keys, "coef"])
+
+    return sums.mapInArrow(run, schema)
+
+
+def centred_solution(n: float, total: np.ndarray, products: dict[tuple[int, int], float]) -> list[float] | None:
+    """[intercept, slopes] from a number of rows, sums and sums of products, the last index being the target's; None if not of full rank."""
+    k = len(total) - 1
+    mean, a = total / n, np.zeros((k + 1, k + 1))
+    for (i, j), x in products.items():
+        a[i, j] = a[j, i] = x - total[i] * total[j] / n
+    size = np.sqrt(np.abs(np.diag(a)[:k]))
+    if not np.isfinite(a).all() or n <= k or (size == 0).any():
+        return None
+    scaled = a[:k, :k] / np.outer(size, size)
+    if np.linalg.cond(scaled) > 1e12:
+        return None
+    slope = np.linalg.solve(scaled, a[:k, k] / size) / size
+    return [float(mean[k] - slope @ mean[:k]), *slope.tolist()]
+
+
+def rolling_gram(rows: DataFrame, x: list[str], y: str, rc: int, growing: bool = False) -> DataFrame:
+    """(series_id, fold, n, s_<i>, s_<i>_<j>): ``gram`` of every training window of a rolling validation, from (series_id, t, n, x, y).
+
+    Rows are summed by blocks of steps that no window's edge cuts, and windows are differences of running sums over blocks: a long series is
+    shared by many tasks until only its blocks are left.
+    """
+    size = F.floor(4 * F.col("n") / 5)
+    block = F.struct(F.floor(F.col("t") / rc).alias("low"), F.floor((F.col("t") - size) / rc).alias("high"))
+    marked = rows.withColumns({"block": block, "size": size, "steps": F.col("n")})
+    sums = gram(marked, x, y, ("series_id", "block", "size", "steps"))
+    names = [c for c in sums.columns if c not in ("series_id", "block", "size", "steps")]
+    upto = Window.partitionBy("series_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    running = sums.select("series_id", "block", "size", "steps", *(F.sum(c).over(upto).alias(c) for c in names))
+    # the last block before a window's end, and for windows that slide the last before its beginning
+    high, low = F.col("block.high") + 1, F.col("block.low") + 1
+    folds = F.ceil((F.col("steps") - F.col("size")) / rc)
+    held = F.struct("block", *names)
+    ends = running.filter((high >= 0) & (high < folds)).groupBy("series_id", high.alias("fold")).agg(F.max(held).alias("upto"))
+    if growing:
+        return ends.select("series_id", F.col("fold").cast("long").alias("fold"), *(F.col(f"upto.{c}").alias(c) for c in names))
+    begins = running.filter(low < folds).groupBy("series_id", low.alias("fold")).agg(F.max(held).alias("before"))
+    both = ends.join(begins, ["series_id", "fold"], "left")
+    return both.select("series_id", F.col("fold").cast("long").alias("fold"), *((F.col(f"upto.{c}") - F.coalesce(F.col(f"before.{c}"), F.lit(0))).alias(c) for c in names))
 
 
 def yule_walker(series: DataFrame, p: int, adjusted: bool = False) -> DataFrame:
@@ -147,30 +185,85 @@ def fold_list(n: int, tr_size: int, rc: int, growing: bool) -> list[tuple[int, i
     return [(0 if growing else i, tr_size + i, tr_size + i, min(tr_size + i + rc, n)) for i in range(0, n - tr_size, rc)]
 
 
-def fit_series(rows: DataFrame, x: list[str], y: list[str], folds: dict | None, kernel: str, p: int, leak_free: bool = False) -> DataFrame:
+class Kernel(Protocol):
+    """What fits one training window, for models of one's own: a function of rows of the design (without intercept) and of the targets, the oldest first.
+
+    It returns the intercept and the slopes, one column for each target.
+    """
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray: ...
+
+
+#: Kernels by name.  "sm_ols" and "sk_lr" are least squares; for autoregressions "ar_ols" (rows with all their lags in the window only), "mle" and "adjusted" (Yule-Walker).
+KERNELS = ("sm_ols", "sk_lr", "ar_ols", "mle", "adjusted")
+
+
+def _coefficients(design: np.ndarray, target: np.ndarray, parts: list[tuple[int, int, int, int]], kernel: str | Kernel, p: int, lost: int) -> list[np.ndarray]:
+    """Of each training window: intercept and slopes, one column for each target."""
+    if kernel in ("mle", "adjusted"):
+        return [yule_walker_kernel(target[a:b, 0], p, kernel == "adjusted")[:, None] for a, b, _, _ in parts]
+    head = p if kernel == "ar_ols" else 0
+    windows = [(min(a + head, b), max(b - lost, min(a + head, b))) for a, b, _, _ in parts]
+    if callable(kernel):
+        found = [np.asarray(kernel(design[a:b], target[a:b]), np.float64) for a, b in windows]
+        shape = (design.shape[1] + 1, target.shape[1])
+        if any(f.shape != shape for f in found):
+            raise ValueError(f"a kernel returns an array of {shape}")
+        return found
+    return rolling_least_squares(design, target, windows, "sm_ols" if kernel == "ar_ols" else kernel)
+
+
+def _parts(n: int, folds: dict | None) -> list[tuple[int, int, int, int]]:
+    return [(0, n, 0, n)] if folds is None else fold_list(n, 4 * n // 5, folds["rc"], folds["growing"])
+
+
+def _matrix(rows: pa.Table, names: list[str]) -> np.ndarray:
+    return np.column_stack([rows[c].to_numpy() for c in names]).astype(np.float64, copy=False) if rows.num_rows else np.zeros((0, len(names)))
+
+
+def fit_series(rows: DataFrame, x: list[str], y: list[str], folds: dict | None, kernel: str | Kernel, p: int, leak_free: bool = False) -> DataFrame:
     """(series_id, fold, train_lo, train_hi, test_lo, test_hi, coef): coefficients, one array for each target, of every training window.
 
-    ``folds``: None for one window over the whole series, else {"rc", "growing"}.  ``kernel``: "sm_ols" or "sk_lr", or for
-    autoregressions "ar_ols" (rows with all their lags in the window only), "mle" and "adjusted" (Yule-Walker).  A series is handled in one
-    task, series by series side by side.
+    ``folds``: None for one window over the whole series, else {"rc", "growing"}.  ``kernel``: one of KERNELS, or a function of one's own.  A series is
+    handled in one task, series by series side by side.
     """
-    arrays = rows.select("series_id", "t", F.array(*[F.col(c).cast("double") for c in x]).alias("x"), F.array(*[F.col(c).cast("double") for c in y]).alias("y"))
+    columns = rows.select("series_id", "t", *(F.col(f"`{c}`").cast("double").alias(f"x_{i}") for i, c in enumerate(x)), *(F.col(c).cast("double").alias(f"y_{i}") for i, c in enumerate(y)))
     lost = len(y) - 1 if leak_free else 0
+    nx, ny = [f"x_{i}" for i in range(len(x))], [f"y_{i}" for i in range(len(y))]
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("t").combine_chunks()
-        n = rows.num_rows
-        design, target = (rows[c].chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in ("x", "y"))
-        parts = [(0, n, 0, n)] if folds is None else fold_list(n, 4 * n // 5, folds["rc"], folds["growing"])
-        if kernel in ("mle", "adjusted"):
-            found = [yule_walker_kernel(target[a:b, 0], p, kernel == "adjusted")[:, None] for a, b, _, _ in parts]
-        else:
-            head = p if kernel == "ar_ols" else 0
-            found = rolling_least_squares(design, target, [(min(a + head, b), max(b - lost, min(a + head, b))) for a, b, _, _ in parts], "sm_ols" if kernel == "ar_ols" else kernel)
+        parts = _parts(rows.num_rows, folds)
+        found = _coefficients(_matrix(rows, nx), _matrix(rows, ny), parts, kernel, p, lost)
         # Arrow keeps NaN apart from null, which pandas would not
         limits = [pa.array([f[i] for f in parts], pa.int64()) for i in range(4)]
         coef = pa.array([b.T.tolist() for b in found], pa.list_(pa.list_(pa.float64())))
         sid = pa.array([rows["series_id"][0].as_py()] * len(parts), pa.string())
         return pa.Table.from_arrays([sid, pa.array(range(len(parts)), pa.int64()), *limits, coef], ["series_id", "fold", "train_lo", "train_hi", "test_lo", "test_hi", "coef"])
 
-    return arrays.groupBy("series_id").applyInArrow(run, "series_id string, fold long, train_lo long, train_hi long, test_lo long, test_hi long, coef array<array<double>>")
+    return columns.groupBy("series_id").applyInArrow(run, "series_id string, fold long, train_lo long, train_hi long, test_lo long, test_hi long, coef array<array<double>>")
+
+
+def fitted_rows(rows: DataFrame, x: list[str], y: list[str], folds: dict | None, kernel: str | Kernel, p: int, carry: list[str], leak_free: bool = False) -> DataFrame:
+    """(series_id, t, fold, coef, x, carry): the rows of every test part beside the coefficients of its training window.
+
+    One pass: the design is computed once, for the fit and for what is forecast from it.
+    """
+    names = list(dict.fromkeys([*x, *carry]))
+    given = rows.select("series_id", "t", *(F.col(f"`{c}`").cast("double").alias(f"x_{i}") for i, c in enumerate(names)), *(F.col(c).cast("double").alias(f"y_{i}") for i, c in enumerate(y)))
+    lost = len(y) - 1 if leak_free else 0
+    nx, ny = [f"x_{names.index(c)}" for c in x], [f"y_{i}" for i in range(len(y))]
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("t").combine_chunks()
+        parts = _parts(rows.num_rows, folds)
+        found = _coefficients(_matrix(rows, nx), _matrix(rows, ny), parts, kernel, p, lost)
+        first = parts[0][2] if parts else rows.num_rows
+        fold = np.repeat(np.arange(len(parts)), [hi - lo for _, _, lo, hi in parts])
+        test = rows.slice(first).select(["series_id", "t", *(f"x_{i}" for i in range(len(names)))])
+        coef = pa.array([b.T.tolist() for b in found], pa.list_(pa.list_(pa.float64()))).take(pa.array(fold))
+        return test.append_column("fold", pa.array(fold, pa.int64())).append_column("coef", coef)
+
+    schema = "series_id string, t long, " + "".join(f"x_{i} double, " for i in range(len(names))) + "fold long, coef array<array<double>>"
+    out = given.groupBy("series_id").applyInArrow(run, schema)
+    return out.select("series_id", "t", "fold", "coef", *(F.col(f"x_{i}").alias(c) for i, c in enumerate(names)))

@@ -47,6 +47,11 @@ def trend_matrix(series: DataFrame, spec: int, lwave: int = 20) -> DataFrame:
     return series.withColumns(trend(spec, lwave))
 
 
+def backcast(column: str) -> Column:
+    """What may have come before a value: two thirds of it and one third of the next one; past the end of a series the next one is 0."""
+    return F.lead(column, 1, 0.0).over(by_time()) / 3 + 2 * F.col(column) / 3
+
+
 def backfilled(column: str) -> Column:
     """Leading zeros replaced by a geometric decay towards the past, a third for each step; a series of zeros stays as it is."""
     seen = F.when(F.col(column) != 0, F.col("t"))
@@ -87,12 +92,14 @@ def _scaled(df: DataFrame, scaler: Scaler | None, blocks: list[str]) -> DataFram
     limits = {}
     for b in blocks:
         limits[f"{b}_shift"], limits[f"{b}_scale"] = scaling.beside(F.col(f"raw_{b}"), scaler)
-    return df.withColumns(limits).withColumns({f"base_{b}": scaling.scaled(F.col(f"raw_{b}"), b) for b in blocks}).drop(*[f"raw_{b}" for b in blocks])
+    return df.withColumns(limits).withColumns({f"base_{b}": scaling.scaled(F.col(f"raw_{b}"), b, scaler) for b in blocks}).drop(*[f"raw_{b}" for b in blocks])
 
 
 def design_matrix(series: DataFrame, spec: ModelSpec) -> DataFrame:
-    """``bases`` with the design columns of the specification, in its order, and n, the length of the series."""
+    """``bases`` with the design columns of the specification, in its order, and n, the length of the series.  Given columns stay as they are."""
     df = bases(series, spec)
+    if spec.given is not None:
+        return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in spec.given} | {"n": F.count(F.lit(1)).over(whole())})
     lags = {f"{b}_lag{k}": lagged(F.col(f"base_{b}"), k) for blocks, m in ((spec.endo_blocks, spec.p), (spec.exo_blocks, spec.q)) for b in blocks for k in range(m, 0, -1)}
     return df.withColumns(trend(spec.trend, spec.lwave) | lags | {"n": F.count(F.lit(1)).over(whole())})
 

@@ -45,7 +45,7 @@ def recursive(rows: DataFrame, spec: ModelSpec, clip: bool | None = None) -> Dat
         if h < spec.horizons:
             seen = {"v_y_" + str(h): F.col(f"s_{h}")}
             for k, f in enumerate(spec.endo_fns or (), 1):
-                seen[f"v_f{k}_y_{h}"] = scaling.scaled(f(scaling.unscaled(F.col(f"s_{h}"), "y")), f"f{k}_y")
+                seen[f"v_f{k}_y_{h}"] = scaling.scaled(f(scaling.unscaled(F.col(f"s_{h}"), "y", spec.scaler)), f"f{k}_y", spec.scaler)
             df = df.withColumns(seen)
     return df.drop(*[f"v_{b}_{h}" for b in spec.endo_blocks for h in range(1, spec.horizons)])
 
@@ -62,9 +62,20 @@ def direct(rows: DataFrame, spec: ModelSpec) -> DataFrame:
     return rows.withColumns(out)
 
 
+def of_given(rows: DataFrame, spec: ModelSpec) -> DataFrame:
+    """Columns s_1 .. s_H from given feature columns: each horizon has its own coefficients."""
+    out = {}
+    for h in range(1, spec.horizons + 1):
+        x = _beta(h - 1, 0)
+        for at, c in enumerate(spec.given, 1):
+            x = x + _beta(h - 1, at) * F.col(f"`{c}`")
+        out[f"s_{h}"] = clip_negative(x) if spec.clips else x
+    return rows.withColumns(out)
+
+
 def unscaled(rows: DataFrame, spec: ModelSpec) -> DataFrame:
     """(series_id, fold, t, y, yf_1 .. yf_H) in the units of the series."""
-    return rows.select("series_id", "fold", "t", "y", *[scaling.unscaled(F.col(f"s_{h}"), "y").alias(f"yf_{h}") for h in range(1, spec.horizons + 1)])
+    return rows.select("series_id", "fold", "t", "y", *[scaling.unscaled(F.col(f"s_{h}"), "y", spec.scaler).alias(f"yf_{h}") for h in range(1, spec.horizons + 1)])
 
 
 def with_actuals(forecasts: DataFrame, horizons: int) -> DataFrame:

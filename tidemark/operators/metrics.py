@@ -34,3 +34,9 @@ def fit_map(metrics: DataFrame, horizons: int) -> DataFrame:
     long = metrics.select("series_id", "h", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in METRICS])).alias("s"))
     out = long.select("series_id", "h", "s.*").groupBy("series_id", "metric").pivot("h", list(range(1, horizons + 1))).agg(F.first("value"))
     return out.toDF("series_id", "metric", *[f"h{h}" for h in range(1, horizons + 1)])
+
+
+def report(metrics: DataFrame) -> DataFrame:
+    """(series_id, h, line): the metrics of a horizon as a line of text, numbers with four digits, separated by tabs."""
+    parts = [F.format_string(f"{c.upper()}: %.4f", F.col(c).cast("double")) for c in METRICS[:-1]]
+    return metrics.select("series_id", "h", F.concat_ws("\t", F.format_string("h: %d", "h"), *parts, F.format_string("M: %d", "m")).alias("line"))

@@ -6,12 +6,44 @@ features.  Seeds are fixed, so reruns agree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A loss: from the errors of a batch, its value and its slope in each error.
+Loss = Callable[[np.ndarray], tuple[float, np.ndarray]]
+
+
+def squared(off: np.ndarray) -> tuple[float, np.ndarray]:
+    return float((off * off).mean()), 2 * off / off.size
+
+
+def absolute(off: np.ndarray) -> tuple[float, np.ndarray]:
+    return float(np.abs(off).mean()), np.sign(off) / off.size
+
+
+def huber(off: np.ndarray) -> tuple[float, np.ndarray]:
+    """Squared up to 1, linear beyond."""
+    size = np.abs(off)
+    return float(np.where(size <= 1, 0.5 * off * off, size - 0.5).mean()), np.clip(off, -1, 1) / off.size
+
+
+LOSSES: dict[str, Loss] = {"mse": squared, "mae": absolute, "huber": huber}
+
+
+def loss_of(loss: str | Loss) -> Loss:
+    """A loss by its name, or one's own."""
+    if callable(loss):
+        return loss
+    if loss not in LOSSES:
+        raise ValueError(f"the loss is a function or one of {sorted(LOSSES)}")
+    return LOSSES[loss]
+
+
 class Adam:
     def __init__(self, params: dict[str, np.ndarray], rate: float):
         self.params, self.rate, self.step = params, rate, 0
@@ -33,9 +65,10 @@ def _layer(rng: np.random.Generator, n_in: int, n_out: int) -> tuple[np.ndarray,
 
 
 class Perceptron:
-    """One hidden layer of tanh units, squared error, full batches."""
+    """One hidden layer of tanh units, full batches."""
 
-    def __init__(self, n_in: int, n_out: int = 1, hidden: int = 32, rate: float = 0.01, epochs: int = 100, seed: int = 0):
+    def __init__(self, n_in: int, n_out: int = 1, hidden: int = 32, rate: float = 0.01, epochs: int = 100, seed: int = 0, loss: str | Loss = "mse"):
+        self.loss = loss_of(loss)
         rng = np.random.default_rng(seed)
         (w1, b1), (w2, b2) = _layer(rng, n_in, hidden), _layer(rng, hidden, n_out)
         self.params, self.rate, self.epochs = {"w1": w1, "b1": b1, "w2": w2, "b2": b2}, rate, epochs
@@ -50,9 +83,8 @@ class Perceptron:
         for _ in range(self.epochs):
             p = self.params
             hidden = np.tanh(x @ p["w1"] + p["b1"])
-            off = hidden @ p["w2"] + p["b2"] - y
-            losses.append(float((off * off).mean()))
-            d = 2 * off / off.size
+            value, d = self.loss(hidden @ p["w2"] + p["b2"] - y)
+            losses.append(value)
             back = (d @ p["w2"].T) * (1 - hidden * hidden)
             adam.update({"w2": hidden.T @ d, "b2": d.sum(0), "w1": x.T @ back, "b1": back.sum(0)})
         return losses
@@ -61,7 +93,8 @@ class Perceptron:
 class AttentionRegressor:
     """Feature -> token of ``width`` -> multi-head self-attention -> mean over tokens -> tanh layer with dropout -> one number."""
 
-    def __init__(self, width: int = 72, heads: int = 4, hidden: int = 64, dropout: float = 0.1, rate: float = 0.001, epochs: int = 100, batch: int = 116, seed: int = 0):
+    def __init__(self, width: int = 72, heads: int = 4, hidden: int = 64, dropout: float = 0.1, rate: float = 0.001, epochs: int = 100, batch: int = 116, seed: int = 0, loss: str | Loss = "mse"):
+        self.loss = loss_of(loss)
         if width % heads:
             raise ValueError("the width is a multiple of the heads")
         self.rng = np.random.default_rng(seed)
@@ -118,8 +151,9 @@ class AttentionRegressor:
             for a in range(0, len(x), self.batch):
                 s = self._forward(x[a : a + self.batch], True)
                 off = s["y"] - y[a : a + self.batch]
-                total += float((off * off).sum())
-                adam.update(self._backward(s, 2 * off / off.size))
+                value, d = self.loss(off)
+                total += value * len(off)
+                adam.update(self._backward(s, d))
             losses.append(total / max(len(x), 1))
         return losses
 
@@ -141,13 +175,13 @@ def _read(pdf: pd.DataFrame) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     return pdf["series_id"].iloc[0], pdf["t"].to_numpy(), np.array(pdf["x"].tolist(), np.float64), np.array(pdf["y"].tolist(), np.float64)
 
 
-def perceptron_forecasts(design: DataFrame, x: list[str], y: list[str], hidden: int = 32, rate: float = 0.01, epochs: int = 100, seed: int = 0) -> DataFrame:
+def perceptron_forecasts(design: DataFrame, x: list[str], y: list[str], hidden: int = 32, rate: float = 0.01, epochs: int = 100, seed: int = 0, loss: str | Loss = "mse") -> DataFrame:
     """(series_id, t, h, y, y_hat, first_loss, last_loss), in the units of the targets: fitted on the first four fifths of a series, forecast for the rest."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sid, t, a, b = _read(pdf)
         cut = len(t) - -(-len(t) // 5)
-        net = Perceptron(a.shape[1], b.shape[1], hidden, rate, epochs, seed)
+        net = Perceptron(a.shape[1], b.shape[1], hidden, rate, epochs, seed, loss)
         losses = net.fit(a[:cut], b[:cut]) if cut else [np.nan]
         out = net.predict(a[cut:])
         m, hs = len(t) - cut, b.shape[1]
@@ -156,12 +190,12 @@ def perceptron_forecasts(design: DataFrame, x: list[str], y: list[str], hidden:
     return _arrays(design, x, y).groupBy("series_id").applyInPandas(run, "series_id string, t long, h int, y double, y_hat double, first_loss double, last_loss double")
 
 
-def attention_scores(design: DataFrame, x: list[str], y: str, epochs: int = 100, width: int = 72, heads: int = 4, batch: int = 116, seed: int = 0) -> DataFrame:
+def attention_scores(design: DataFrame, x: list[str], y: str, epochs: int = 100, width: int = 72, heads: int = 4, batch: int = 116, seed: int = 0, loss: str | Loss = "mse") -> DataFrame:
     """(series_id, query_idx, key_idx, score): attention between features of a regressor fitted on all of a series."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sid, _, a, b = _read(pdf)
-        net = AttentionRegressor(width, heads, epochs=epochs, batch=batch, seed=seed)
+        net = AttentionRegressor(width, heads, epochs=epochs, batch=batch, seed=seed, loss=loss)
         net.fit(a, b)
         s = net.attention(a)
         n = len(s)
@@ -170,6 +204,20 @@ def attention_scores(design: DataFrame, x: list[str], y: str, epochs: int = 100,
     return _arrays(design, x, [y]).groupBy("series_id").applyInPandas(run, "series_id string, query_idx int, key_idx int, score double")
 
 
+def heat_map(scores: DataFrame) -> DataFrame:
+    """(series_id, query_idx, key_idx, score) with a row and a column for the intercept in front, half of the highest score each; features are numbered from 1."""
+    size = scores.groupBy("series_id").agg(F.max(F.greatest("query_idx", "key_idx")).alias("last"), (F.max("score") / 2).alias("half"))
+    at = F.explode(F.sequence(F.lit(0), F.col("last") + 1)).alias("i")
+    edge = size.select("series_id", "half", at).select("series_id", "half", F.explode(F.array(F.struct(F.lit(0).alias("query_idx"), F.col("i").alias("key_idx")), F.struct(F.col("i").alias("query_idx"), F.lit(0).alias("key_idx")))).alias("place"))
+    edge = edge.select("series_id", "place.query_idx", "place.key_idx", F.col("half").alias("score")).distinct()
+    return edge.unionByName(scores.select("series_id", (F.col("query_idx") + 1).alias("query_idx"), (F.col("key_idx") + 1).alias("key_idx"), "score"))
+
+
+def write_heat_map(scores: DataFrame, path: str) -> None:
+    """``heat_map`` as Parquet, a folder for each series; drawing it is left to the client."""
+    heat_map(scores).write.partitionBy("series_id").parquet(path)
+
+
 def top_features(scores: DataFrame, names: list[str], k: int = 20) -> DataFrame:
     """(series_id, rank, key_idx, feature, score): the k features that get most attention, mean over queries."""
     from pyspark.sql import Window

@@ -44,7 +44,7 @@ def scale(x: str, scaler: str | None) -> tuple[str, str]:
     """Shift and scale of x over its series."""
     if scaler is None:
         return "0.0::DOUBLE", "1.0::DOUBLE"
-    if scaler == "standard":
+    if scaler in ("standard", "log"):
         return f"avg({x}) OVER {WHOLE}", f"(CASE WHEN stddev_pop({x}) OVER {WHOLE} = 0 THEN 1.0 ELSE stddev_pop({x}) OVER {WHOLE} END)"
     span = f"(max({x}) OVER {WHOLE} - min({x}) OVER {WHOLE})"
     return f"min({x}) OVER {WHOLE}", f"((CASE WHEN {span} = 0 THEN 1.0 ELSE {span} END) / 4.0)"
@@ -60,7 +60,7 @@ def rounded(names: list[str], digits: int) -> str:
 
 @dataclass
 class ModelSql:
-    """``endo`` and ``exo``: symbolic functions as templates over {x}, None for a linear model.  ``kernel``: ols, or ar (window rows with all lags only)."""
+    """``endo`` and ``exo``: symbolic functions as templates over {x}, None for a linear model.  ``kernel``: ols, ar (window rows with all lags only), mle or adjusted (Yule-Walker), or mean (no slopes)."""
 
     source: str
     p: int
@@ -92,6 +92,8 @@ class ModelSql:
         self._forecast()
 
     def _blocks(self, name: str, before: str, raw: dict[str, str]) -> None:
+        if self.scaler == "log":
+            raw = {b: f"ln(1 + ({x}))" for b, x in raw.items()}
         self.parts.append(f"{name}_raw AS (SELECT *, {', '.join(f'{x} AS raw_{b}' for b, x in raw.items())} FROM {before})")
         limits = {b: scale(f"raw_{b}", self.scaler) for b in raw}
         self.parts.append(f"{name}_lim AS (SELECT *, {', '.join(f'{a} AS {b}_shift, {c} AS {b}_scale' for b, (a, c) in limits.items())} FROM {name}_raw)")
@@ -120,6 +122,12 @@ class ModelSql:
             self.parts.append(f"train AS (SELECT d.*, f.fold FROM design d JOIN folds f ON d.series_id = f.series_id AND d.t >= f.lo{head} AND d.t < f.hi - {lost})")
         else:
             self.parts.append(f"train AS (SELECT *, 0 AS fold FROM design WHERE t >= {self.p if self.kernel == 'ar' else 0} AND t < n - {lost})")
+        if self.kernel in ("mle", "adjusted"):
+            self._levinson()
+            return
+        if self.kernel == "mean":
+            self.parts.append(f"params AS (SELECT series_id, fold, {', '.join([f'avg({x}) AS beta_{h}_0' for h, x in enumerate(self.targets)] + [f'0.0::DOUBLE AS beta_{h}_{j}' for h in range(len(self.targets)) for j in range(1, k + 1)])} FROM train GROUP BY series_id, fold)")
+            return
         sums = [f"avg({x}) AS m_{i}" for i, x in enumerate(names)] + [f"covar_pop({names[i]}, {names[j]}) AS a_{i}_{j}" for i in range(k) for j in range(i, len(names))]
         self.parts.append(f"e0 AS (SELECT series_id, fold, {', '.join(sums)} FROM train GROUP BY series_id, fold)")
         for p in range(k):
@@ -133,6 +141,26 @@ class ModelSql:
         const = [f"m_{k + h}{''.join(f' - beta_{h}_{j + 1} * m_{j}' for j in range(k))} AS beta_{h}_0" for h in range(len(self.targets))]
         self.parts.append(f"params AS (SELECT series_id, fold, {', '.join([*const, *[f'beta_{h}_{j}' for h in range(len(self.targets)) for j in range(1, k + 1)]])} FROM {last})")
 
+    def _back(self, x: str) -> str:
+        return f"exp({x} * y_scale + y_shift) - 1" if self.scaler == "log" else f"{x} * y_scale + y_shift"
+
+    def _levinson(self) -> None:
+        """Yule-Walker: autocovariances of each training window, then one common table expression for each order."""
+        p, less = self.p, int(self.kernel == "adjusted")
+        self.parts.append("centred AS (SELECT *, y - avg(y) OVER (PARTITION BY series_id, fold) AS c FROM train)")
+        lags = ", ".join(f"lag(c, {k}) OVER (PARTITION BY series_id, fold ORDER BY t) AS c_{k}" for k in range(1, p + 1))
+        self.parts.append(f"lagged AS (SELECT *, {lags} FROM centred)")
+        cov = ", ".join(f"sum(c * {f'c_{k}' if k else 'c'}) / (count(*) - {k * less}) AS r_{k}" for k in range(p + 1))
+        self.parts.append(f"lev_0 AS (SELECT series_id, fold, avg(y) AS mu, {cov} FROM lagged GROUP BY series_id, fold)")
+        for m in range(1, p + 1):
+            top = f"r_{m}" + "".join(f" - a_{m - 1}_{i} * r_{m - i}" for i in range(1, m))
+            error = "r_0" + "".join(f" - a_{m - 1}_{i} * r_{i}" for i in range(1, m))
+            self.parts.append(f"ref_{m} AS (SELECT *, ({top}) / ({error}) AS a_{m}_{m} FROM lev_{m - 1})")
+            rest = "".join(f", a_{m - 1}_{i} - a_{m}_{m} * a_{m - 1}_{m - i} AS a_{m}_{i}" for i in range(1, m))
+            self.parts.append(f"lev_{m} AS (SELECT *{rest} FROM ref_{m})")
+        total = " - ".join(["1", *(f"a_{p}_{k}" for k in range(1, p + 1))])
+        self.parts.append(f"params AS (SELECT series_id, fold, mu * ({total}) AS beta_0_0, {', '.join(f'a_{p}_{p - j + 1} AS beta_0_{j}' for j in range(1, p + 1))} FROM lev_{p})")
+
     def _forecast(self) -> None:
         if self.rolling:
             self.parts.append(f"rows_0 AS (SELECT d.*, p.* EXCLUDE (series_id) FROM design d JOIN params p ON d.series_id = p.series_id AND p.fold = (d.t - (4 * d.n) // 5) // {self.rc} WHERE d.t >= (4 * d.n) // 5)")
@@ -154,9 +182,9 @@ class ModelSql:
             value = f"beta_{target}_0 + " + " + ".join(terms)
             clipped = f"CASE WHEN isnan({value}) THEN 'NaN'::DOUBLE ELSE greatest({value}, 0.0) END" if self.clip else value
             self.parts.append(f"step_{h} AS (SELECT *, {clipped} AS s_{h} FROM rows_{h - 1})")
-            seen = [f"s_{h} AS v_y_{h}"] + [f"({f.format(x=f'(s_{h} * y_scale + y_shift)')} - f{i}_y_shift) / f{i}_y_scale AS v_f{i}_y_{h}" for i, f in enumerate(self.endo or (), 1)]
+            seen = [f"s_{h} AS v_y_{h}"] + [f"({f.format(x=f'({self._back(f"s_{h}")})')} - f{i}_y_shift) / f{i}_y_scale AS v_f{i}_y_{h}" for i, f in enumerate(self.endo or (), 1)]
             self.parts.append(f"rows_{h} AS (SELECT *, {', '.join(seen)} FROM step_{h})")
-        self.parts.append(f"forecasts AS (SELECT series_id, fold, t, y, {', '.join(f's_{h} * y_scale + y_shift AS yf_{h}' for h in range(1, self.horizons + 1))} FROM rows_{self.horizons})")
+        self.parts.append(f"forecasts AS (SELECT series_id, fold, t, y, {', '.join(f'{self._back(f"s_{h}")} AS yf_{h}' for h in range(1, self.horizons + 1))} FROM rows_{self.horizons})")
         pairs = " UNION ALL ".join(f"SELECT series_id, {h} AS h, lead(y, {h - 1}) OVER {BY_TIME} AS y, yf_{h} AS y_hat FROM forecasts" for h in range(1, self.horizons + 1))
         self.parts.append(f"pairs AS (SELECT * FROM ({pairs}) WHERE y IS NOT NULL)")
 

@@ -13,14 +13,23 @@ from tidemark.functions.symbolic import Symbolic
 Aggregate = Callable[[Column], Column]
 
 
+def _same(x: Column) -> Column:
+    return x
+
+
 @dataclass(frozen=True)
 class Scaler:
-    """An affine transform (x - shift) / scale.  ``fit`` gives shift and scale from aggregates over all of a series; any other transform of this form will do."""
+    """A transform (into(x) - shift) / scale, and out of it again.  ``fit`` gives shift and scale from aggregates over into(x) of all of a series.
+
+    ``into`` and ``out_of`` are any function and its inverse, by default none, which makes the transform affine.
+    """
 
     name: str
     fit: Callable[[Column, Aggregate], tuple[Column, Column]]
     #: Whether scaled values keep the sign, so that negative forecasts may be clipped.
     keeps_sign: bool = True
+    into: Callable[[Column], Column] = _same
+    out_of: Callable[[Column], Column] = _same
 
 
 @dataclass(frozen=True)
@@ -29,7 +38,8 @@ class ModelSpec:
 
     ``skip``: steps before the first forecast, ``p`` if not given.  ``endo_fns``: None for a linear model, else the functions of a
     symbolic one (an empty tuple is allowed).  ``cross``: products of the series with exogenous ones, in symbolic models only.
-    ``lstsq``: "sm_ols" solves [1, X] by least norm, "sk_lr" the centred system; at full rank they agree.
+    ``lstsq``: "sm_ols" solves [1, X] by least norm, "sk_lr" the centred system; at full rank they agree.  If it is not given, a model decides.
+    ``given``: names of feature columns that the series table brings along, in place of lags; then no scaler, and one step ahead or a direct model.
     """
 
     p: int = 6
@@ -42,8 +52,9 @@ class ModelSpec:
     scaler: Scaler | None = None
     endo_fns: tuple[Symbolic, ...] | None = None
     exo_fns: tuple[Symbolic, ...] = ()
-    lstsq: str = "sm_ols"
+    lstsq: str | None = None
     lwave: int = 20
+    given: tuple[str, ...] | None = None
 
     def __post_init__(self) -> None:
         if self.p < 1:
@@ -54,8 +65,15 @@ class ModelSpec:
             raise ValueError("horizons must be at least 1")
         if self.n_exo and self.q < 1:
             raise ValueError("exogenous series need q of at least 1")
-        if self.lstsq not in ("sm_ols", "sk_lr"):
+        if self.lstsq not in (None, "sm_ols", "sk_lr"):
             raise ValueError("lstsq is sm_ols or sk_lr")
+        if self.given is not None:
+            if isinstance(self.given, str) or not all(isinstance(c, str) for c in self.given):
+                raise TypeError("given is a tuple of column names")
+            if not self.given:
+                raise ValueError("given names no column")
+            if self.scaler is not None or self.endo_fns is not None:
+                raise ValueError("given columns are taken as they are: no scaler, no symbolic functions")
 
     @property
     def first(self) -> int:
@@ -86,12 +104,14 @@ class ModelSpec:
     @property
     def design(self) -> list[str]:
         """Columns of the design matrix, the intercept left out.  Within a block the oldest lag comes first."""
+        if self.given is not None:
+            return list(self.given)
         lags = lambda blocks, n: [f"{b}_lag{k}" for b in blocks for k in range(n, 0, -1)]
         return self.trend_columns + lags(self.endo_blocks, self.p) + lags(self.exo_blocks, self.q)
 
 
 def check_range(start: int, end: int, n: int, skip: int) -> tuple[int, int]:
-    """The steps [start, end) to forecast; -1 stands for ``skip`` and for n."""
+    """The steps [start, end) to forecast of a series of n steps; -1 stands for ``skip`` and for n.  Anything else out of the series is an error."""
     a, b = skip if start == -1 else start, n if end == -1 else end
     if not 0 <= a < b <= n:
         raise ValueError(f"steps [{a}, {b}) do not lie in a series of {n}")

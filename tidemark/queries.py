@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,12 @@ _add(
     lambda s, d: sources.train_test(sources.events_hourly(s, d)).select("series_id", "t", "tr_size", "is_train"),
     f"{ctes(oracle.series('events_hourly'))} SELECT series_id, t, CAST((4 * n) // 5 AS BIGINT) AS tr_size, t < (4 * n) // 5 AS is_train FROM (SELECT *, count(*) OVER {WHOLE} AS n FROM s)",
 )
+_add(
+    "train_is_test",
+    lambda s, d: sources.train_test(sources.events_hourly(s, d), split=False).select("series_id", "t", "tr_size", "is_train", "is_test"),
+    f"{ctes(oracle.series('events_hourly'))} SELECT series_id, t, count(*) OVER {WHOLE} AS tr_size, true AS is_train, true AS is_test FROM s",
+)
+_add("memory_source", lambda s, d: sources.to_series(s.createDataFrame([(3, 2.5, None), (1, None, 4.0), (2, 7.0, 1.0)], "day int, value double, other double"), "day", "value", exo=["other"]), "SELECT * FROM (VALUES ('_', CAST(0 AS BIGINT), 0.0::DOUBLE, 4.0::DOUBLE), ('_', 1, 7.0, 1.0), ('_', 2, 2.5, 0.0)) AS v(series_id, t, y, x1)")
 _add(
     "mini_batches",
     lambda s, d: sources.batches(sources.ship_weekly(s, d), 116).select("series_id", "t", "batch"),
@@ -76,7 +83,7 @@ _add(
 )
 _add(
     "backcast",
-    lambda s, d: sources.ship_weekly(s, d).select("series_id", "t", (F.round(F.lead("y", 1, 0.0).over(features.by_time()) / 3 + 2 * F.col("y") / 3, 6)).alias("value")),
+    lambda s, d: sources.ship_weekly(s, d).select("series_id", "t", F.round(features.backcast("y"), 6).alias("value")),
     f"{ctes(oracle.series('ship_weekly'))} SELECT series_id, t, round(lead(y, 1, 0.0) OVER {BY_TIME} / 3 + 2 * y / 3, 6) AS value FROM s",
 )
 _add("backfill", lambda s, d: _show(features.backfill(_holed(s, d), ["x1"]), ["x1"]), f"{ctes(oracle.series('ship_weekly'), _HOLED)} SELECT series_id, t, round({oracle.backfilled('x1')}, 6) + 0.0 AS x1 FROM holed")
@@ -112,6 +119,15 @@ for _kind, _scaler in (("standard", scaling.STANDARD), ("minmax", scaling.minmax
     _add(f"scale_{_kind}", _scale, f"{ctes(oracle.series('ship_weekly'))} SELECT series_id, t, round((y - {_a}) / {_b}, 6) + 0.0 AS scaled FROM s")
 
 
+def _scale_log(s: SparkSession, d: str) -> DataFrame:
+    df = features.bases(sources.ship_weekly(s, d), ModelSpec(p=1, scaler=scaling.logarithmic()))
+    return _show(df.withColumn("back", scaling.unscaled(F.col("base_y"), "y", scaling.logarithmic())), ["base_y", "back"])
+
+
+_a, _b = oracle.scale("ln(1 + y)", "log")
+_add("scale_log", _scale_log, f"{ctes(oracle.series('ship_weekly'))} SELECT series_id, t, round((ln(1 + y) - {_a}) / {_b}, 6) + 0.0 AS base_y, round(y, 6) + 0.0 AS back FROM s")
+
+
 def _scaler_table(s: SparkSession, d: str) -> DataFrame:
     return scaling.fit_table(sources.ship_weekly(s, d), scaling.STANDARD, ["y", "x1"]).select("series_id", "name", *_round(["shift", "scale"]))
 
@@ -139,6 +155,8 @@ def _naive(s: SparkSession, d: str) -> DataFrame:
 
 _VALUES = ["mse", "mae", "r2", "r2bar", "smape"]
 _add("metrics_by_horizon", lambda s, d: _naive(s, d).select("series_id", "h", *_round(_VALUES, 4), "m"), f"{ctes(oracle.series('events_hourly'), _NAIVE_CTE)} {oracle.metrics_from('pairs', 4)}")
+_line = "concat_ws(chr(9), printf('h: %d', h), " + ", ".join(f"printf('{m.upper()}: %.4f', {m})" for m in _VALUES) + ", printf('M: %d', m))"
+_add("report_text", lambda s, d: metrics.report(_naive(s, d).select("series_id", "h", *_round(_VALUES, 4), "m")), f"{ctes(oracle.series('events_hourly'), _NAIVE_CTE, f'e AS ({oracle.metrics_from('pairs', 4)})')} SELECT series_id, h, {_line} AS line FROM e")
 _long = " UNION ALL ".join(f"SELECT series_id, h, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM e" for m in [*_VALUES, "m"])
 _add(
     "metrics_pivot",
@@ -175,6 +193,17 @@ _sums = [f"round(sum({x}), 3) + 0.0 AS s_{i}" for i, x in enumerate(_g)] + [f"ro
 _add("ols_gram", _gram, ModelSql("ship_weekly", p=1, q=1, horizons=1).over_design(f"series_id, count(*) AS n, {', '.join(_sums)}", "GROUP BY series_id"))
 
 
+def _gram_rolling(s: SparkSession, d: str) -> DataFrame:
+    spec = ModelSpec(p=1, q=1, n_exo=1)
+    sums = estimators.rolling_gram(features.design_matrix(sources.ship_weekly(s, d), spec), spec.design, "base_y", 3)
+    return sums.select("series_id", "fold", "n", *_round([c for c in sums.columns if c.startswith("s_")], 3))
+
+
+_roll_gram = ModelSql("ship_weekly", p=1, q=1, horizons=1, rolling=True, rc=3)
+_upto_train = next(i for i, x in enumerate(_roll_gram.parts) if x.startswith("train AS"))
+_add("ols_gram_rolling", _gram_rolling, f"{ctes(*_roll_gram.parts[: _upto_train + 1])} SELECT series_id, CAST(fold AS BIGINT) AS fold, count(*) AS n, {', '.join(_sums)} FROM train GROUP BY series_id, fold")
+
+
 def _gram_solved(s: SparkSession, d: str) -> DataFrame:
     spec = ModelSpec(p=2, q=1, n_exo=1)
     df = features.design_matrix(sources.ship_weekly(s, d), spec)
@@ -206,7 +235,9 @@ _ar_sql = {"p": 2, "horizons": 3, "skip": 2, "kernel": "ar", "clip": False}
 _model("ar_recursive", "events_hourly", models.autoregression(2, 3), ModelSql("events_hourly", **_ar_sql), parts=("forecasts", "params"))
 _model("ar_roll", "events_hourly", models.autoregression(2, 3), ModelSql("events_hourly", rolling=True, **_ar_sql), rolling=True)
 for _kind in ("mle", "adjusted"):
-    _model(f"yw_{_kind}_roll", "events_hourly", models.autoregression(6, 6, _kind), None, rolling=True, parts=("metrics",))
+    _yw_sql = {"p": 6, "horizons": 6, "skip": 6, "kernel": _kind, "clip": False}
+    _model(f"yw_{_kind}_recursive", "events_hourly", models.autoregression(6, 6, _kind), ModelSql("events_hourly", **_yw_sql), parts=("forecasts", "params"))
+    _model(f"yw_{_kind}_roll", "events_hourly", models.autoregression(6, 6, _kind), ModelSql("events_hourly", rolling=True, **_yw_sql), rolling=True)
 _model("arx_recursive", "events_hourly", models.linear(_LINEAR), _linear_sql, parts=("forecasts", "metrics", "params"))
 _model("arx_recursive_sk_lr", "events_hourly", models.linear(replace(_LINEAR, lstsq="sk_lr")), _linear_sql, parts=("forecasts",))
 _direct_sql = {"p": 3, "q": 2, "trend": 3, "horizons": 3, "skip": 3, "direct": True}
@@ -214,6 +245,43 @@ _model("arx_direct", "events_hourly", models.linear(_LINEAR, "direct"), ModelSql
 _model("arx_direct_leak_free", "events_hourly", models.linear(_LINEAR, "direct", True), ModelSql("events_hourly", leak_free=True, **_direct_sql), parts=("forecasts",))
 _model("symb_recursive", "ship_weekly", models.Model(_SYMB), ModelSql("ship_weekly", **_SYMB_SQL), parts=("forecasts", "metrics"))
 _model("symb_direct", "ship_weekly", models.Model(_SYMB, "direct"), ModelSql("ship_weekly", direct=True, **_SYMB_SQL), parts=("forecasts", "metrics"))
+
+
+def mean_kernel(x, y):
+    """An estimator of one's own: the mean of each target, no slopes."""
+    return np.vstack([y.mean(0), np.zeros((x.shape[1], y.shape[1]))])
+
+
+_model("own_kernel", "events_hourly", models.Model(_LINEAR, "direct", mean_kernel), ModelSql("events_hourly", kernel="mean", **_direct_sql), parts=("forecasts",))
+_model("own_kernel_roll", "events_hourly", models.Model(_LINEAR, "recursive", mean_kernel), ModelSql("events_hourly", kernel="mean", rolling=True, p=3, q=2, trend=3, horizons=3, skip=3), rolling=True, parts=("metrics",))
+_model("gram_recursive", "events_hourly", models.Model(_LINEAR, "recursive", "gram"), _linear_sql, parts=("forecasts", "params"))
+_model("gram_roll", "orders_weekly", models.Model(_EXAMPLE, "recursive", "gram"), ModelSql("orders_weekly", p=6, q=4, horizons=6, skip=2, scaler="standard", clip=False, rolling=True), rolling=True, parts=("forecasts",))
+_model("log_recursive", "ship_weekly", models.linear(ModelSpec(p=3, horizons=3, skip=2, scaler=scaling.logarithmic())), ModelSql("ship_weekly", p=3, horizons=3, skip=2, scaler="log", clip=False), parts=("forecasts", "metrics"))
+_add(
+    "arx_slice",
+    lambda s, d: models.linear(_LINEAR).in_sample(sources.events_hourly(s, d), 10, 40).select("series_id", "fold", "t", "y", *_round(["yf_1", "yf_2", "yf_3"], 3)),
+    _linear_sql.forecasts() + " WHERE t >= 10 AND t < 40",
+)
+
+
+def _given(s: SparkSession, d: str, horizons: int) -> DataFrame:
+    """Features of one's own beside the series: here a moving mean and the hour of the day, under any names."""
+    df = sources.events_hourly(s, d)
+    w = features.by_time().rowsBetween(-4, -1)
+    df = df.withColumns({"moving mean": F.coalesce(F.avg("y").over(w), F.lit(0.0)), "phase": (F.col("t") % 24).cast("int")})
+    model = models.linear(ModelSpec(p=1, horizons=horizons, skip=4, given=("moving mean", "phase"), lstsq="sm_ols"), "direct" if horizons > 1 else "recursive")
+    return model.in_sample(df).select("series_id", "fold", "t", "y", *_round([f"yf_{h}" for h in range(1, horizons + 1)], 3))
+
+
+for _h in (1, 3):
+    _own = f"own AS (SELECT *, coalesce(avg(y) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 0.0) AS f1, CAST(t % 24 AS DOUBLE) AS f2, {', '.join(f'lead(y, {h}, 0.0) OVER {BY_TIME} AS y_{h}' for h in range(_h))} FROM s)"
+    _fits = ", ".join(
+        f"regr_count(y_{h}, f1) AS n_{h}, covar_pop(y_{h}, f1) AS c1_{h}, covar_pop(y_{h}, f2) AS c2_{h}, avg(y_{h}) AS m_{h}" for h in range(_h)
+    )
+    _fit = f"fit AS (SELECT series_id, var_pop(f1) AS v1, var_pop(f2) AS v2, covar_pop(f1, f2) AS v12, avg(f1) AS m1, avg(f2) AS m2, {_fits} FROM own GROUP BY series_id)"
+    _b1, _b2 = "((c1_{h} * v2 - c2_{h} * v12) / (v1 * v2 - v12 * v12))", "((c2_{h} * v1 - c1_{h} * v12) / (v1 * v2 - v12 * v12))"
+    _out = ", ".join(f"round(greatest(m_{h} + {_b1.format(h=h)} * (f1 - m1) + {_b2.format(h=h)} * (f2 - m2), 0.0), 3) + 0.0 AS yf_{h + 1}" for h in range(_h))
+    _add(f"given_columns_{_h}", lambda s, d, h=_h: _given(s, d, h), f"{ctes(oracle.series('events_hourly'), _own, _fit)} SELECT o.series_id, CAST(0 AS BIGINT) AS fold, t, y, {_out} FROM own o JOIN fit f ON o.series_id = f.series_id WHERE t >= 4")
 _example_sql = {"p": 6, "q": 4, "horizons": 6, "skip": 2, "scaler": "standard", "clip": False}
 _model("roll_sliding", "orders_weekly", models.linear(_EXAMPLE), ModelSql("orders_weekly", rolling=True, **_example_sql), rolling=True)
 _model("roll_growing", "orders_weekly", models.linear(_EXAMPLE), ModelSql("orders_weekly", rolling=True, growing=True, **_example_sql), rolling=True, growing=True)
@@ -224,6 +292,15 @@ _model("roll_symbolic", "ship_weekly", models.Model(_SYMB_ONE), ModelSql("ship_w
 _model("roll_symbolic_direct", "ship_weekly", models.Model(_SYMB_ONE, "direct", "sk_lr"), ModelSql("ship_weekly", rolling=True, direct=True, **_symb_one_sql), rolling=True, parts=("metrics",))
 
 
+# the scenario with a symbolic function: standard scaling, x**1.5 of the series, none of the exogenous one
+_SCENARIO = replace(_EXAMPLE, endo_fns=(symbolic.power(1.5),), exo_fns=())
+_scenario_sql = {**_example_sql, "endo": ("pow({x}, 1.5)",)}
+_model("scenario_symbolic", "ship_weekly", models.Model(_SCENARIO), ModelSql("ship_weekly", **_scenario_sql))
+_model("scenario_symbolic_roll", "ship_weekly", models.Model(_SCENARIO), ModelSql("ship_weekly", rolling=True, **_scenario_sql), rolling=True, parts=("metrics",))
+_model("scenario_symbolic_direct", "ship_weekly", models.Model(_SCENARIO, "direct"), ModelSql("ship_weekly", direct=True, **_scenario_sql), parts=("metrics",))
+_model("scenario_symbolic_direct_roll", "ship_weekly", models.Model(_SCENARIO, "direct"), ModelSql("ship_weekly", rolling=True, direct=True, **_scenario_sql), rolling=True, parts=("metrics",))
+
+
 def _matrix(s: SparkSession, d: str) -> DataFrame:
     df = sources.events_hourly(s, d)
     out = forecast.matrix(df, models.linear(_LINEAR).roll_validate(df), 3)
@@ -256,6 +333,29 @@ _add("attention_scores", _attention)
 _add("attention_topk", lambda s, d: neural.top_features(_attention(s, d), _TOKENS.design, 20))
 
 
+# what follows from scores, over scores that SQL can make: the mean discount by line number and ship month
+_SCORES = "sc AS (SELECT l_returnflag AS series_id, CAST(l_linenumber - 1 AS INTEGER) AS query_idx, CAST(month(l_shipdate) - 1 AS INTEGER) AS key_idx, round(avg(l_discount), 9) AS score FROM lineitem GROUP BY 1, 2, 3)"
+
+
+def _scores(s: SparkSession, d: str) -> DataFrame:
+    items = s.read.parquet(f"{d}/lineitem.parquet")
+    keys = [F.col("l_returnflag").alias("series_id"), (F.col("l_linenumber") - 1).alias("query_idx"), (F.month("l_shipdate") - 1).alias("key_idx")]
+    return items.groupBy(*keys).agg(F.round(F.avg("l_discount"), 9).alias("score"))
+
+
+_MONTHS = [f"month {m}" for m in range(1, 13)]
+_add(
+    "top_features",
+    lambda s, d: neural.top_features(_scores(s, d), _MONTHS, 5),
+    f"{ctes(_SCORES, 'k AS (SELECT series_id, key_idx, round(avg(score), 6) AS score FROM sc GROUP BY 1, 2)')} SELECT * FROM (SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY score DESC, key_idx) AS INTEGER) AS rank, key_idx, concat('month ', key_idx + 1) AS feature, score FROM k) WHERE rank <= 5",
+)
+_add(
+    "heat_map",
+    lambda s, d: neural.heat_map(_scores(s, d)).select("series_id", "query_idx", "key_idx", *_round(["score"])),
+    f"{ctes(_SCORES, 'z AS (SELECT series_id, max(greatest(query_idx, key_idx)) AS last, max(score) / 2 AS half FROM sc GROUP BY 1)', 'e AS (SELECT series_id, half, unnest(range(0, last + 2)) AS i FROM z)')} SELECT series_id, query_idx, key_idx, round(score, 6) + 0.0 AS score FROM (SELECT series_id, query_idx + 1 AS query_idx, key_idx + 1 AS key_idx, score FROM sc UNION ALL SELECT series_id, 0, CAST(i AS INTEGER), half FROM e UNION ALL SELECT series_id, CAST(i AS INTEGER), 0, half FROM e WHERE i > 0)",
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling validation of an ARX model over hourly events: metrics for each series and horizon."""
     return QUERIES["ar_roll_metrics"](spark, sf_dir)

@@ -61,14 +61,17 @@ def read_csv(spark: SparkSession, path: str, time: str, value: str, exo: Sequenc
     return out if first is None else prefix(out, first)
 
 
-def train_test(series: DataFrame, share: float | None = None) -> DataFrame:
-    """``series`` with n, tr_size, is_train: a sequential split.
+def train_test(series: DataFrame, share: float | None = None, split: bool = True) -> DataFrame:
+    """``series`` with n, tr_size, is_train, is_test: a sequential split.
 
-    The last fifth is for testing: tr_size is (4 n) div 5.  With ``share``, the test part is ceil(share * n).
+    The last fifth is for testing: tr_size is (4 n) div 5.  With ``share``, the test part is ceil(share * n).  Without ``split`` all steps are for
+    training and all for testing.
     """
     n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
     size = F.floor(4 * F.col("n") / 5) if share is None else F.col("n") - F.ceil(F.lit(float(share)) * F.col("n"))
-    return series.withColumn("n", n).withColumn("tr_size", size.cast("long")).withColumn("is_train", F.col("t") < F.col("tr_size"))
+    size = size if split else F.col("n")
+    is_train = F.col("t") < F.col("tr_size")
+    return series.withColumn("n", n).withColumn("tr_size", size.cast("long")).withColumns({"is_train": is_train, "is_test": ~is_train if split else F.lit(True)})
 
 
 def batches(series: DataFrame, size: int) -> DataFrame:

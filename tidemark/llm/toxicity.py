@@ -3,7 +3,8 @@
 A sentence has the probability sigmoid(bias + sum of its words' weights), and a document is toxic unless none of its
 sentences is: noisy-or.  Both are fitted together from document labels; afterwards sentence probabilities locate the offending
 sentences.  A word's weight is the sum of those of its features, the whole word and its first 4, 5 and 6 bytes, so that inflected
-forms are known by their beginnings.  Only features that come significantly more often in toxic documents get a weight.
+forms are known by their beginnings.  Only features that come significantly more often in toxic documents get a weight.  Weights are drawn to the
+log-odds of their features, so that a word that is always toxic counts in full even if all its documents hold others besides.
 """
 
 from __future__ import annotations
@@ -106,7 +107,9 @@ def fit(sample: DataFrame, steps: int = 400) -> NoisyOr:
     both = (F.col("toxic") + F.col("clean") + 1.0) / (n1 + n0 + 2.0)
     chi = F.pow(share_1 - share_0, F.lit(2.0)) / (both * (1 - both) * (1.0 / n1 + 1.0 / n0))
     chosen = counts.filter((F.col("toxic") >= 2) & (share_1 > 3 * share_0)).withColumn("chi", chi).filter("chi > 12").orderBy(F.desc("chi"), "feature")
-    names = [bytes(r["feature"]) for r in chosen.select("feature").collect()]
+    # what is hardly significant is hardly believed
+    rows = chosen.select("feature", (F.log(share_1 / share_0) * (1 - 12 / F.col("chi"))).alias("odds")).collect()
+    names, odds = [bytes(r["feature"]) for r in rows], np.array([r["odds"] for r in rows], np.float64)
     index = {f: i for i, f in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +137,15 @@ def fit(sample: DataFrame, steps: int = 400) -> NoisyOr:
     doc = np.array(doc, np.int64)
     sentence, feature = np.concatenate(sentence or [doc]).astype(np.int64), np.concatenate(feature or [doc]).astype(np.int64)
     plain = n - np.bincount(doc, minlength=len(n))  # sentences with no chosen feature all look the same
-    w, bias = np.full(len(names), 1.0), -6.0
-    m, v, ridge = np.zeros(len(names) + 1), np.zeros(len(names) + 1), 0.02
+    w, bias = odds.copy(), -8.0
+    m, v, ridge = np.zeros(len(names) + 1), np.zeros(len(names) + 1), 0.5
     for step in range(1, steps + 1):
         z = bias + np.bincount(sentence, w[feature], place)
         u = np.bincount(doc, np.logaddexp(0, z), len(n)) + plain * np.logaddexp(0, bias)
         # of a toxic document, -log(1 - exp(-u)); of a clean one, u
         slope = np.where(label == 1, -1 / np.expm1(np.minimum(np.maximum(u, 1e-6), 50)), 1.0)
         dz = slope[doc] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(feature, dz[sentence], len(names)) + ridge * w, (slope * plain).sum() / (1 + np.exp(-bias)) + dz.sum())
+        grad = np.append(np.bincount(feature, dz[sentence], len(names)) + ridge * (w - odds), (slope * plain).sum() / (1 + np.exp(-bias)) + dz.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         change = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, bias = w - change[:-1], min(bias - float(change[-1]), -3.0)

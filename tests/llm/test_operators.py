@@ -574,7 +574,7 @@ def test_kneser_ney():
     for g in [*list(counts)[:30], (9, 9, 9, 1), (1, 2, 3, 9), (1, 9, 2, 2), (5, 5, 5, 5)]:
         assert model.log_probability(np.array([pack(g)]))[0] == pytest.approx(np.log(p(g)))
     context = np.array([pack((1, 2, 1, x)) for x in range(perplexity.CLASSES)])
-    assert np.exp(model.table[context]).sum() == pytest.approx(1, abs=1e-5)
+    assert np.exp(model.log_probability(context)).sum() == pytest.approx(1, abs=1e-5)
 
 
 def test_counts_and_bands(spark, docs, none):
@@ -634,6 +634,62 @@ def test_model_in_spark(spark, docs):
     assert perplexity._grams(pa.array(["\U0001f642"]))[0].tolist() != perplexity._grams(pa.array(["\U0001f643"]))[0].tolist()
 
 
+def brute_percentile(values):
+    """The value that half of them do not exceed."""
+    own = sorted(values)
+    return own[-(-len(own) // 2) - 1]
+
+
+def test_judged_by_brute_force(spark):
+    """``kept`` and perplexity from n-grams of tuples, their Kneser-Ney probabilities by definition, and medians over lists."""
+    rng = random.Random(21)
+    rows = [(i, prose(rng, rng.randint(15, 40)), "ab"[i % 2], "a", 1) for i in range(60)]
+    rows += [(100 + i, "".join(rng.choices("qxzv ", k=150)), "ab"[i % 2], "a", 1) for i in range(4)] + [(110, None, "a", "a", 1), (111, "", "b", "a", 1), (112, prose(rng, 25), None, "a", 1)]
+    got = {r["doc_id"]: r for r in perplexity.judged(spark.createDataFrame(rows, DOCS)).collect()}
+    grams = lambda t: [tuple(("\n" * 3 + t)[j : j + 4]) for j in range(len(t))]
+    mean, words = {}, {r[0]: brute_stats(r[1]) for r in rows}
+    for lang in ("a", "b", None):
+        counts = Counter(g for r in rows if r[2] == lang for g in grams(r[1] or ""))
+        levels = {4: counts} | {}
+        for n in (3, 2, 1):
+            levels[n] = Counter(g[1:] for g in levels[n + 1])
+        discounts, contexts = {}, {}
+        for n, own in levels.items():
+            have = Counter(own.values())
+            n1, n2, n3, n4 = (have[k] for k in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 else 0
+            discounts[n] = (0.5, 0.75, 0.9) if min(n1, n2, n3) == 0 else tuple(min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+            contexts[n] = defaultdict(list)
+            for g, c in own.items():
+                contexts[n][g[:-1]].append(c)
+
+        def p(g):
+            if not g:
+                return 1 / perplexity.CLASSES
+            own = contexts[len(g)][g[:-1]]  # noqa: B023
+            less = discounts[len(g)]  # noqa: B023
+            total, c = sum(own), levels[len(g)][g]  # noqa: B023
+            back = sum(less[min(x, 3) - 1] for x in own) / total * p(g[1:])
+            return (c - less[min(c, 3) - 1]) / total + back if c > 1 else back if total > 1 else p(g[1:])
+
+        for r in rows:
+            if r[2] == lang and r[1]:
+                mean[r[0]] = float(np.mean([np.log(np.float32(p(g))) for g in grams(r[1])]))
+    judged_ = {i: m for i, m in mean.items() if words[i][0] >= 20}
+    of = {r[0]: r[2] for r in rows}
+    middle = {x: brute_percentile([m for i, m in judged_.items() if of[i] == x]) for x in {of[i] for i in judged_}}
+    off = {i: abs(m - middle[of[i]]) / np.sqrt(1 + perplexity.SHORT / len(rows[[r[0] for r in rows].index(i)][1])) for i, m in judged_.items()}
+    spread = {x: brute_percentile([o for i, o in off.items() if sum(of[j] == x for j in judged_) < perplexity.LEAST_DOCS or of[i] == x]) for x in middle}
+    for i, r in got.items():
+        n, *_, again = words[i]
+        failed = n < 20 or 100 * again > 30 * n
+        assert r["base_failed"] == failed and (r["perplexity"] is None) == (i not in mean)
+        if i in mean:
+            assert np.log(r["perplexity"]) == pytest.approx(-mean[i], abs=1e-4)
+        assert r["kept"] == (not failed and off[i] <= perplexity.BAND * max(spread[of[i]], 0.005))
+    assert not any(got[i]["kept"] for i in range(100, 104)) and sum(r["kept"] for r in got.values()) > 30
+
+
 def test_every_language_is_judged_by_itself(spark):
     """More languages than were once given a model of their own, each with its upper and lower band; a tiny one too."""
     rng = random.Random(8)

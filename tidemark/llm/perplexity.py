@@ -155,14 +155,6 @@ class KneserNey:
     def log_probability(self, grams: np.ndarray) -> np.ndarray:
         return np.log(self._look(ORDER, grams.astype(np.int64).view(np.uint64)))
 
-    @property
-    def table(self) -> KneserNey:
-        """The log-probability of every possible n-gram, by index."""
-        return self
-
-    def __getitem__(self, grams: np.ndarray) -> np.ndarray:
-        return self.log_probability(grams)
-
 
 def _end(n: int) -> Column:
     return F.col("gram").bitwiseAND(F.lit((1 << BITS * n) - 1).cast("long"))

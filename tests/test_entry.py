@@ -36,6 +36,8 @@ def test_a_design_matrix_is_one_shuffle_and_one_sort_of_the_series(spark):
     assert "Python" not in tree and "Pandas" not in tree and "Arrow" not in tree
 
 
-def test_forecasts_stay_in_the_jvm(spark):
-    tree = plan(queries.QUERIES["arx_recursive"](spark, SF)).split("\n\n")[0]
-    assert tree.count("InArrow") == 1  # the fit
+def test_a_model_is_one_pass_over_its_series(spark):
+    for name in ("arx_recursive", "roll_sliding", "symb_recursive_metrics"):
+        tree = plan(queries.QUERIES[name](spark, SF)).split("\n\n")[0]
+        # the fit is the only Python there is, and the series are scanned, shuffled and sorted for it once
+        assert tree.count("InArrow") == 1 and tree.count("Scan parquet") == 1 and "Join" not in tree

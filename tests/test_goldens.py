@@ -196,6 +196,116 @@ def test_nan_stays_nan(spark):
     assert math.isnan(r["mse"])
 
 
+def test_slices(spark):
+    df = make(spark, range(1, 21)).union(make(spark, range(1, 16), "b"))
+    model = models.linear(ModelSpec(p=2, horizons=2))
+    assert [t for (t,) in read(model.in_sample(df, 4, 9), "t")] == [4, 5, 6, 7, 8] * 2
+    assert [t for (t,) in read(model.in_sample(df, end=4), "t")] == [2, 3] * 2 and len(read(model.in_sample(df, 12), "t")) == 8 + 3
+    for start, end in ((-3, 5), (5, 5), (4, 16), (4, -2), (15, -1)):  # the shortest series has 15 steps
+        with pytest.raises(ValueError):
+            model.in_sample(df, start, end)
+
+
+def test_given_columns(spark):
+    rng = np.random.default_rng(7)
+    y, f = rng.normal(10, 2, 40), rng.normal(size=40)
+    df = make(spark, y, feature=f)
+    got = [x for (x,) in read(models.linear(ModelSpec(p=1, skip=0, given=("feature",))).in_sample(df), "yf_1")]
+    slope = np.polyfit(f, y, 1)
+    assert got == pytest.approx(np.polyval(slope, f))
+    for bad, error in (({"given": ()}, ValueError), ({"given": "feature"}, TypeError), ({"given": ("feature",), "scaler": scaling.STANDARD}, ValueError)):
+        with pytest.raises(error):
+            ModelSpec(**bad)
+    with pytest.raises(ValueError):
+        models.linear(ModelSpec(given=("feature",), horizons=2))
+    with pytest.raises(ValueError):
+        models.linear(ModelSpec(given=("other",))).design(df)
+
+
+def test_kernels_of_ones_own(spark):
+    df = make(spark, np.random.default_rng(8).normal(5, 1, 40))
+
+    def ridge(x, y):
+        a = np.column_stack([np.ones(len(x)), x])
+        return np.linalg.solve(a.T @ a + 1e-9 * np.eye(a.shape[1]), a.T @ y)
+
+    spec = ModelSpec(p=2, horizons=2)
+    own, known = (read(models.Model(spec, "recursive", k).roll_validate(df), "yf_1", "yf_2") for k in (ridge, "sm_ols"))
+    assert own == [pytest.approx(r, abs=1e-6) for r in known] and "method=ridge" in repr(models.Model(spec, "recursive", ridge))
+    for bad in ("other", None, 3):
+        with pytest.raises(ValueError):
+            models.Model(spec, "recursive", bad)
+    with pytest.raises(Exception, match="a kernel returns an array"):
+        models.Model(spec, "recursive", lambda x, y: np.zeros(3)).in_sample(df).collect()
+
+
+def test_parameters_from_elsewhere(spark):
+    df = make(spark, [1, 2, 4, 8, 16])
+    model = models.linear(ModelSpec(p=1, skip=1))
+    given = spark.createDataFrame([("a", 0, [[0.0, 2.0]])], "series_id string, fold long, coef array<array<double>>")
+    assert [x for (x,) in read(model.with_params(given).forecasts(df), "yf_1")] == [2, 4, 8, 16]
+    with pytest.raises(TypeError):
+        model.with_params([0.0, 2.0])
+    for bad in (given.drop("coef"), given.limit(0)):
+        with pytest.raises(ValueError):
+            model.with_params(bad)
+    with pytest.raises(TypeError):
+        model.design([1.0, 2.0])
+
+
+def test_default_solvers():
+    spec = ModelSpec(p=2)
+    assert models.linear(spec, "direct").kernel == "sk_lr" and models.linear(spec).kernel == models.symbolic(spec, "direct").kernel == "sm_ols"
+    assert models.linear(ModelSpec(p=2, lstsq="sm_ols"), "direct").kernel == "sm_ols"
+
+
+def test_gram_matrices_of_short_and_flat_series(spark):
+    model = models.Model(ModelSpec(p=2, horizons=1), "recursive", "gram")
+    flat = model.fit(model.design(make(spark, [3] * 30).union(make(spark, [1, 2], "b")))).params.collect()
+    assert [r["coef"] for r in flat] == [[None], [None]]
+    y = np.random.default_rng(9).normal(size=300).cumsum()
+    rolled = {r["fold"]: r["coef"][0] for r in model.fit(model.design(make(spark, y)), {"rc": 7, "growing": False}).params.collect()}
+    plain = models.linear(ModelSpec(p=2))
+    want = {r["fold"]: r["coef"][0] for r in plain.fit(plain.design(make(spark, y)), {"rc": 7, "growing": False}).params.collect()}
+    assert rolled.keys() == want.keys() and all(rolled[k] == pytest.approx(want[k], abs=1e-7) for k in want)
+
+
+def test_split_or_not(spark):
+    rows = read(sources.train_test(make(spark, range(5)), split=False), "is_train", "is_test")
+    assert rows == [(True, True)] * 5
+    assert read(sources.train_test(make(spark, range(5))), "is_train", "is_test") == [(True, False)] * 4 + [(False, True)]
+
+
+def test_losses():
+    off = np.array([[-3.0], [0.5], [0.0], [2.0]])
+    for name, value in (("mse", 13.25 / 4), ("mae", 5.5 / 4), ("huber", (2.5 + 0.125 + 0 + 1.5) / 4)):
+        loss = neural.loss_of(name)
+        assert loss(off)[0] == pytest.approx(value)
+        step = np.zeros_like(off)
+        step[0] = 1e-6
+        assert loss(off)[1][0, 0] == pytest.approx((loss(off + step)[0] - loss(off - step)[0]) / 2e-6, abs=1e-6)
+    with pytest.raises(ValueError):
+        neural.loss_of("other")
+    x = np.random.default_rng(0).normal(size=(100, 2))
+    for loss in ("mae", "huber", neural.squared):
+        losses = neural.Perceptron(2, 1, loss=loss).fit(x, x[:, :1])
+        assert losses[-1] < 0.5 * losses[0]
+    net = neural.AttentionRegressor(8, 2, 6, epochs=20, batch=16, loss="mae")
+    assert net.fit(x[:32], x[:32, :1])[-1] > 0
+
+
+def test_heat_map_is_written(spark, tmp_path):
+    scores = spark.createDataFrame([("a", q, k, float(q + k)) for q in range(2) for k in range(2)], "series_id string, query_idx int, key_idx int, score double")
+    neural.write_heat_map(scores, str(tmp_path / "map"))
+    got = {(r["query_idx"], r["key_idx"]): r["score"] for r in spark.read.parquet(str(tmp_path / "map")).collect()}
+    assert got == {(0, 0): 1, (0, 1): 1, (0, 2): 1, (1, 0): 1, (2, 0): 1, (1, 1): 0, (1, 2): 1, (2, 1): 1, (2, 2): 2}
+
+
+def test_report(spark):
+    m = spark.createDataFrame([("a", 1, 0.25, 0.5, 1.0, float("nan"), 12.34567, 3)], "series_id string, h int, mse double, mae double, r2 double, r2bar double, smape double, m long")
+    assert metrics.report(m).first()["line"] == "h: 1\tMSE: 0.2500\tMAE: 0.5000\tR2: 1.0000\tR2BAR: NaN\tSMAPE: 12.3457\tM: 3"
+
+
 def test_perceptron_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 3))

@@ -24,7 +24,7 @@ def test_buckets_and_forecasts(spark, tmp_path):
     # the last hour is still within the watermark
     assert {k: v for k, v in got.items() if k[0] == "a"} == {("a", h): 2.0 * h for h in range(7)}
     assert {h for s, h in got if s == "b"} == set(range(7))
-    # closed buckets are a table of their own, which the forecaster follows as a stream
+    # closed buckets are a table of their own, which the forecasts follow as a stream
     spark.table("buckets").coalesce(1).write.parquet(str(tmp_path / "closed"))
     closed = spark.readStream.schema("series_id string, ts timestamp, y double").parquet(str(tmp_path / "closed"))
     ahead = drain(live.forecast_buckets(closed, {"a": [1.0, 0.5, 0.25]}), "ahead").collect()

@@ -63,9 +63,8 @@ def pieces_of(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterato
         n = batch.num_rows
         if not n:
             continue
-        if batch.nbytes <= most:
-            yield batch
-            continue
-        step = max(1, n * most // batch.nbytes)
+        step = max(1, n * most // max(batch.nbytes, most))
         for a in range(0, n, step):
             yield batch.slice(a, step)
+        # workers live on from stage to stage
+        pa.default_memory_pool().release_unused()

@@ -163,7 +163,7 @@ def _boundary_windows(listed: DataFrame, window: int) -> DataFrame:
 
 
 def _parsed(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(sub_doc, sub_text, found): the duplicate windows of a text as (start, parts), parts being (at, n, first, last): n windows from start + at on, and where they stand first and last."""
+    """(sub_doc, sub_text, found): the duplicate windows of a text as stretches (start, n, ref_doc, ref_start), in no order."""
     pieces = _pieces(keyed, window, anchor)
     # what is joined back is written first: a join of two plain scans has partitions that Spark can split where a key is hot
     often = staged(pieces.groupBy("mini").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("mini"), "substrings-often")
@@ -191,20 +191,23 @@ def _parsed(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
     runs = runs.groupBy("mini", "piece", "run").agg(F.min("at").alias("at"), F.count(F.lit(1)).cast("int").alias("n"), F.min("first").alias("first"), F.min("last").alias("last"))
     cut = runs.groupBy("mini", "piece").agg(F.collect_list(F.struct("at", "n", "first", F.struct("last.doc", "last.start").alias("last"))).alias("parts"))
     parts = staged(whole.unionByName(cut), "substrings-parts")
-    return shared.join(parts, ["mini", "piece"]).groupBy("sub_doc", "sub_text").agg(F.collect_set(F.struct("start", "parts")).alias("found"))
-
-
-def _factors(doc: int, text: int, found: dict[str, np.ndarray], window: int) -> tuple[np.ndarray, ...]:
-    """The greedy parse: from left to right, as far as one reference goes on, (start, words, ref_doc, ref_start).  ``found``: stretches of duplicate windows."""
-    order = np.argsort(found["start"], kind="stable")
-    start, n, f_doc, f_text, f_start, l_doc, l_start = (found[k][order] for k in ("start", "n", "f_doc", "f_text", "f_start", "l_doc", "l_start"))
-    own = (f_doc == doc) & (f_text == text) & (f_start == start)
-    ref, at = np.where(own, l_doc, f_doc), np.where(own, l_start, f_start)
+    # what stands first is held against the last place
+    own = lambda p: (p["first"]["doc"] == F.col("sub_doc")) & (p["first"]["text"] == F.col("sub_text")) & (p["first"]["start"] == F.col("start") + p["at"])
+    ref = lambda p, c: F.when(own(p), p["last"][c]).otherwise(p["first"][c])
+    stretch = lambda p: F.struct((F.col("start") + p["at"]).alias("start"), p["n"].alias("n"), ref(p, "doc").alias("ref_doc"), ref(p, "start").alias("ref_start"))
+    taken = shared.join(parts, ["mini", "piece"]).select("sub_doc", "sub_text", F.transform("parts", stretch).alias("stretches"))
+    return taken.groupBy("sub_doc", "sub_text").agg(F.flatten(F.collect_set("stretches")).alias("found"))
+
+
+def _factors(start: np.ndarray, n: np.ndarray, doc: np.ndarray, ref: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """The greedy parse: from left to right, as far as one reference goes on, (start, words, ref_doc, ref_start) from stretches of duplicate windows."""
+    order = np.argsort(start, kind="stable")
+    start, n, doc, ref = start[order], n[order], doc[order], ref[order]
     new = np.ones(len(start), bool)
-    new[1:] = (ref[1:] != ref[:-1]) | (at[1:] - start[1:] != at[:-1] - start[:-1]) | (start[1:] != start[:-1] + n[:-1])
+    new[1:] = (doc[1:] != doc[:-1]) | (ref[1:] - start[1:] != ref[:-1] - start[:-1]) | (start[1:] != start[:-1] + n[:-1])
     i = np.flatnonzero(new)
     ends = np.append(i[1:], len(start)) - 1
-    return start[i], start[ends] + n[ends] - start[i] + window - 1, ref[i], at[i]
+    return start[i], start[ends] + n[ends] - start[i] + window - 1, doc[i], ref[i]
 
 
 def without_duplicates(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -216,34 +219,24 @@ def without_duplicates(docs: DataFrame, window: int = WINDOW, anchor: int = ANCH
     other columns stay as they are; an empty table gives an empty table.  Columns named n_words, n_removed, factors, sub_doc, sub_text or found are replaced.
     """
     keyed = _keyed(docs.drop("n_words", "n_removed", "factors", "sub_doc", "sub_text", "found").withColumn("text", F.col("text").cast("string")))
-    joined = keyed.join(_parsed(keyed.select("sub_doc", "sub_text", "text"), window, anchor), ["sub_doc", "sub_text"], "left")
-    names = [c for c in joined.columns if c not in ("found", "sub_doc", "sub_text")]
+    joined = keyed.join(_parsed(keyed.select("sub_doc", "sub_text", "text"), window, anchor), ["sub_doc", "sub_text"], "left").drop("sub_doc", "sub_text")
+    names = [c for c in joined.columns if c != "found"]
     columns = {c: joined.columns.index(c) for c in joined.columns}
     factor = T.StructType.fromDDL("start int, length int, ref_doc long, ref_start int")
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
 
-    def flat(lists: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """The row of each stretch of duplicate windows, and its columns."""
-        inner = lists.flatten()
-        parts = pc.struct_field(inner, 1)
-        parent = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
-        row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[parent]
-        each = parts.flatten()
-        number = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
-        get = lambda *path: number(pc.struct_field(each, list(path)))
-        return row, {"start": number(pc.struct_field(inner, 0))[parent] + get(0), "n": get(1), "f_doc": get(2, 0), "f_text": get(2, 1), "f_start": get(2, 2), "l_doc": get(3, 0), "l_start": get(3, 1)}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
             texts, counts, removed, factors = [], [], [], []
-            row, found = flat(batch.column(columns["found"]))
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            docs_, sub = (batch.column(columns[c]).to_numpy(zero_copy_only=False) for c in ("sub_doc", "sub_text"))
-            for i, text in enumerate(batch.column(columns["text"]).cast(pa.binary()).to_pylist()):
-                words, a, b = (text or b"").split(), ends[i], ends[i + 1]
+            lists = batch.column(columns["found"])
+            fields = [pc.struct_field(lists.flatten(), k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
+            length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(length)
+            for text, a, b in zip(batch.column(columns["text"]).cast(pa.binary()).to_pylist(), (ends - length).tolist(), ends.tolist(), strict=True):
+                words = (text or b"").split()
                 counts.append(len(words))
                 if a < b:
-                    start, n, doc, ref = _factors(docs_[i], sub[i], {k: v[a:b] for k, v in found.items()}, window)
+                    start, n, doc, ref = _factors(*(f[a:b] for f in fields), window)
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + n, -1)

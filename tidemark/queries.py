@@ -196,12 +196,13 @@ _add("ols_gram", _gram, ModelSql("ship_weekly", p=1, q=1, horizons=1).over_desig
 def _gram_rolling(s: SparkSession, d: str) -> DataFrame:
     spec = ModelSpec(p=1, q=1, n_exo=1)
     sums = estimators.rolling_gram(features.design_matrix(sources.ship_weekly(s, d), spec), spec.design, "base_y", 3)
-    return sums.select("series_id", "fold", "n", *_round([c for c in sums.columns if c.startswith("s_")], 3))
+    # sums have few digits, so many lie halfway between two roundings: a hair is added
+    return sums.select("series_id", "fold", "n", *((F.round(F.col(c) + 3.3e-9, 3) + F.lit(0.0)).alias(c) for c in sums.columns if c.startswith("s_")))
 
 
 _roll_gram = ModelSql("ship_weekly", p=1, q=1, horizons=1, rolling=True, rc=3)
 _upto_train = next(i for i, x in enumerate(_roll_gram.parts) if x.startswith("train AS"))
-_add("ols_gram_rolling", _gram_rolling, f"{ctes(*_roll_gram.parts[: _upto_train + 1])} SELECT series_id, CAST(fold AS BIGINT) AS fold, count(*) AS n, {', '.join(_sums)} FROM train GROUP BY series_id, fold")
+_add("ols_gram_rolling", _gram_rolling, f"{ctes(*_roll_gram.parts[: _upto_train + 1])} SELECT series_id, CAST(fold AS BIGINT) AS fold, count(*) AS n, {', '.join(_sums).replace('), 3)', ') + 3.3e-9, 3)')} FROM train GROUP BY series_id, fold")
 
 
 def _gram_solved(s: SparkSession, d: str) -> DataFrame:

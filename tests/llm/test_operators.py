@@ -131,6 +131,18 @@ def test_sequences_hold_the_ids(docs, library):
         assert b"".join(got[i][k] for k in sorted(got[i])) == np.array([*library(text), 0], "<u4").tobytes()
 
 
+def test_ids_of_any_size_go_along(spark):
+    """Ids that need more than 16 bits, and columns called ids that hold something else."""
+    rows = [(i, np.arange(i, i + 3, dtype="<u4").tobytes() if i % 2 else np.array([70_000, i, 0], "<u4").tobytes(), 3) for i in range(50)]
+    for part in (rows, rows[1::2], [(i, b"x" * 5 if i % 3 else None, 3) for i in range(20)], [(i, b"xyzxyz", 3) for i in range(20)], "apart"):
+        if part == "apart":  # a task whose ids fit, and one whose ids don't
+            part, df = rows, spark.createDataFrame(rows[1::2], "doc_id long, ids binary, length long").coalesce(1).union(spark.createDataFrame(rows[::2], "doc_id long, ids binary, length long").coalesce(1))
+        else:
+            df = spark.createDataFrame(part, "doc_id long, ids binary, length long").repartition(2)
+        got = {r["doc_id"]: r["ids"] for r in packing.pack(df, 8).collect()}
+        assert got == {i: b and bytearray(b) for i, b, _ in part}
+
+
 def brute_pairs(sizes, capacity):
     """The fewest bins for items above a third, by trying all matchings of small inputs."""
     if not sizes:

@@ -115,6 +115,25 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(placed), np.int64).reshape(-1, 5)
 
 
+def _narrowed(ids: pa.Array, length: np.ndarray) -> pa.Array | None:
+    """Ids of 32 bits each as ids of 16 bits; None if some don't fit or the column holds something else."""
+    if not len(ids) or ids.null_count:
+        return None
+    offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    if (np.diff(offsets) != 4 * length).any():
+        return None
+    values = np.frombuffer(ids.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u4")
+    if values.size and int(values.max()) >= 1 << 16:
+        return None
+    at = np.concatenate([[0], np.cumsum(2 * length)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(values.astype("<u2").tobytes())])
+
+
+def _widened(ids: pa.Array, narrow: np.ndarray) -> pa.Array:
+    """The ids of 32 bits again, in the rows that were narrowed."""
+    return pa.array([np.frombuffer(x, "<u2").astype("<u4").tobytes() if thin else x for x, thin in zip(ids.to_pylist(), narrow.tolist(), strict=True)], pa.binary())
+
+
 def _wider(df: DataFrame, *names: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
 
@@ -128,6 +147,8 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
     kept = items.drop("sequence_id", "offset", "pack_part", "pack_rank")
     names, where = kept.columns, kept.columns.index("length")
     schema = _wider(kept, "pack_part", "pack_rank")
+    # ids travel in 16 bits each where they fit
+    held = names.index("ids") if "ids" in names and isinstance(kept.schema["ids"].dataType, T.BinaryType) else None
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rank of each row among those of its length, within this task."""
@@ -141,7 +162,12 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
             rank[order] = run
             rank += seen[n]
             seen += np.bincount(n, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part)), pa.array(rank)], [*batch.schema.names, "pack_part", "pack_rank"])
+            columns = batch.columns
+            thin = None if held is None else _narrowed(columns[held], n)
+            if thin is not None:
+                columns[held] = thin
+            # the rank's lowest bit says whether the ids were narrowed
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(n), part)), pa.array(2 * rank + (thin is not None))], [*batch.schema.names, "pack_part", "pack_rank"])
 
     numbered = staged(kept.mapInArrow(number, schema), "packing")
     tallies = numbered.groupBy("length", "pack_part").agg(F.count(F.lit(1)).alias("n"))
@@ -149,17 +175,20 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
     places = plan(counts, capacity)
     before = Window.partitionBy("length").orderBy("pack_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = tallies.select("length", "pack_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("pack_base"))
-    ranked = numbered.join(bases, ["length", "pack_part"]).select(*names, (F.col("pack_base") + F.col("pack_rank")).alias("pack_rank"))
+    ranked = numbered.join(bases, ["length", "pack_part"]).select(*names, (2 * F.col("pack_base") + F.col("pack_rank")).alias("pack_rank"))
     # ranks stay below 2**50, so one number holds a length and a rank
     keys = (places[:, 0] << 50) + places[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(where).to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = batch.column(len(names)).to_numpy(zero_copy_only=False)
+            marked, columns = batch.column(len(names)).to_numpy(zero_copy_only=False), batch.columns[:-1]
+            rank = marked >> 1
+            if held is not None and (marked & 1).any():
+                columns[held] = _widened(columns[held], (marked & 1).astype(bool))
             _, start, first, each, offset = places[np.searchsorted(keys, (n << 50) + rank, "right") - 1].T
             over = rank - start
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(first + over // each), pa.array(offset + over % each * n)], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(first + over // each), pa.array(offset + over % each * n)], [*names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, _wider(kept, "sequence_id", "offset"))
 

@@ -21,7 +21,7 @@ _own: dict[str, str] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; Arrow batches are kept small, since texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,7 +22,7 @@ import numpy as np
 WHOLE = tuple(map(chr, (0, 9, 11, 12, 13)))
 WHOLE_WIDE = tuple(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Chunks in each of the two generations that a worker remembers, at about 200 bytes each.
-REMEMBERED = 350_000
+REMEMBERED = 200_000
 
 
 def default_vocabulary() -> str:

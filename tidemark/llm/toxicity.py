@@ -23,7 +23,7 @@ from tidemark.llm.quality import one_of_each, sample_of
 #: Labelled documents that are learned from at most.
 SAMPLE = 12_000
 #: Words a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 _CLEAN = bytearray(range(256))
 for _b in range(128):

@@ -120,7 +120,8 @@ def test_packing(spark, seed):
 
 def test_sequences_hold_the_ids(docs, library):
     """Every sequence, put together, is the ids of its parts, and the parts of a document are its ids."""
-    packed = packing.pack(packing.token_pieces(docs, 64), 64)
+    packed = packing.pack_documents(docs, 64)
+    assert packed.columns == packing.pack(packing.token_pieces(docs, 64), 64).columns
     got = defaultdict(dict)
     for r in packing.sequences(packed).collect():
         assert r["length"] <= 64 and len(r["ids"]) == 4 * r["length"]

@@ -33,10 +33,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(a, capacity) for a in range(first, n, capacity)] if n else []
 
 
-def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int | None = 0, payload: str = "ids") -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int | None = 0, payload: str = "ids", numbered: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length and ``ids`` (binary, unsigned 32 bits each).
 
-    ``payload="crc32"`` gives ``ids_crc32`` in place of the ids.  A null text counts as empty, an empty text is just the
+    ``payload="crc32"`` gives ``ids_crc32`` in place of the ids, ``numbered`` what ``pack_documents`` needs besides.  A null text counts as empty, an empty text is just the
     end id; repeated rows are packed as often as they come; columns other than doc_id and text are not read.
     """
     vocabulary = vocabulary or default_vocabulary()
@@ -56,8 +56,16 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None =
             names = ("doc_id", "piece", "start", "length", "ids" if with_ids else "ids_crc32")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds, strict=True)], names)
 
-    last = "ids binary" if with_ids else "ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, piece int, start long, length long, {last}")
+    texts, schema = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), f"doc_id long, piece int, start long, length long, {'ids binary' if with_ids else 'ids_crc32 long'}"
+    if not numbered:
+        return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(lambda batches: _numbered(run(batches), 3, 4 if with_ids else None, capacity), f"{schema}, pack_part long, pack_rank long")
+
+
+def pack_documents(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int | None = 0) -> DataFrame:
+    """``pack`` of ``token_pieces`` with ids; a task has one worker for both."""
+    numbered = staged(token_pieces(docs, capacity, vocabulary, end_id, numbered=True), "packing")
+    return _placed(numbered, ["doc_id", "piece", "start", "length", "ids"], capacity)
 
 
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -148,28 +156,39 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
     names, where = kept.columns, kept.columns.index("length")
     schema = _wider(kept, "pack_part", "pack_rank")
     # ids travel in 16 bits each where they fit
-    held = names.index("ids") if "ids" in names and isinstance(kept.schema["ids"].dataType, T.BinaryType) else None
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rank of each row among those of its length, within this task."""
-        seen = np.zeros(capacity + 1, np.int64)
-        part = TaskContext.get().partitionId()
-        for batch in batches:
-            n = batch.column(where).to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(n, kind="stable")
-            run = np.arange(len(n)) - np.searchsorted(n[order], n[order], "left")
-            rank = np.empty(len(n), np.int64)
-            rank[order] = run
-            rank += seen[n]
-            seen += np.bincount(n, minlength=capacity + 1)
-            columns = batch.columns
-            thin = None if held is None else _narrowed(columns[held], n)
-            if thin is not None:
-                columns[held] = thin
-            # the rank's lowest bit says whether the ids were narrowed
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(n), part)), pa.array(2 * rank + (thin is not None))], [*batch.schema.names, "pack_part", "pack_rank"])
-
-    numbered = staged(kept.mapInArrow(number, schema), "packing")
+    held = _ids_column(kept)
+    numbered = staged(kept.mapInArrow(lambda batches: _numbered(batches, where, held, capacity), schema), "packing")
+    return _placed(numbered, names, capacity)
+
+
+def _ids_column(df: DataFrame) -> int | None:
+    """Where ids that may travel in 16 bits each stand."""
+    return df.columns.index("ids") if "ids" in df.columns and isinstance(df.schema["ids"].dataType, T.BinaryType) else None
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], where: int, held: int | None, capacity: int) -> Iterator[pa.RecordBatch]:
+    """Batches with the task's number and the rank of each row among those of its length within the task."""
+    seen = np.zeros(capacity + 1, np.int64)
+    part = TaskContext.get().partitionId()
+    for batch in batches:
+        n = batch.column(where).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(n, kind="stable")
+        run = np.arange(len(n)) - np.searchsorted(n[order], n[order], "left")
+        rank = np.empty(len(n), np.int64)
+        rank[order] = run
+        rank += seen[n]
+        seen += np.bincount(n, minlength=capacity + 1)
+        columns = batch.columns
+        thin = None if held is None else _narrowed(columns[held], n)
+        if thin is not None:
+            columns[held] = thin
+        # the rank's lowest bit says whether the ids were narrowed
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(n), part)), pa.array(2 * rank + (thin is not None))], [*batch.schema.names, "pack_part", "pack_rank"])
+
+
+def _placed(numbered: DataFrame, names: list[str], capacity: int) -> DataFrame:
+    """Rows with their part and rank, in sequences."""
+    where, held, kept = names.index("length"), _ids_column(numbered), numbered.select(*names)
     tallies = numbered.groupBy("length", "pack_part").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in tallies.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     places = plan(counts, capacity)

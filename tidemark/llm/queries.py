@@ -15,7 +15,7 @@ def _id_remainder(n: int) -> Column:
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), 2048), 2048)
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), 2048)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 

@@ -69,7 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each document with their ids, and where each lies in a sequence of 2048 tokens."""
-    return packing.pack(packing.token_pieces(docs, 2048), 2048)
+    return packing.pack_documents(docs, 2048)
 
 
 STAGES = [
